@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup
+from . import chat_format, exact_dedup, ngram_join
 
 QUERIES = {
     "op4_chat_format": chat_format.op4_chat_format,
+    "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
 }
 
