@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, ngram_join
+from . import chat_format, exact_dedup, language_id, ngram_join, packing
 
 QUERIES = {
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op9_language_id": language_id.op9_language_id,
+    "op10_packing": packing.op10_packing,
 }
 
 ORACLES = {
