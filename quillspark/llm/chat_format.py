@@ -97,9 +97,9 @@ def expand(chats: DataFrame, texts: bool = True) -> DataFrame:
 
 
 def op4_chat_format(spark, sf_dir: str) -> DataFrame:
-    extra = spark.createDataFrame(
-        [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")],
-        "conv_id long, turn long, role string, text string",
+    said = F.lit("</s>[INST] ok [/INST]")
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text")
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     chats = format_chats(turns)
