@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, language_id, ngram_join, packing
+from . import chat_format, exact_dedup, html_extract, language_id, ngram_join, packing
 
 QUERIES = {
+    "op1_html_extract": html_extract.op1_html_extract,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
