@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, html_extract, language_id, ngram_join, packing
+from . import chat_format, exact_dedup, html_extract, language_id, ngram_join, packing, warc
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_warc": warc.op7_warc,
     "op9_language_id": language_id.op9_language_id,
     "op10_packing": packing.op10_packing,
 }
@@ -16,4 +17,5 @@ QUERIES = {
 ORACLES = {
     "op4_chat_format": chat_format.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op7_warc": warc.ORACLE,
 }
