@@ -9,7 +9,9 @@ agree in at least one block, whatever the hashes are, so an equi-join on
 (band, block number, block value) misses no link.  Candidates are verified on
 whole shingle sets.
 
-Plan at scale.  Texts are read twice and shuffled once (for candidates).  Equal
+Plan at scale.  Texts are read three times and never shuffled: what moves is block
+keys, about a quarter of a key for each shingle, and the sets of candidates, which a
+Bloom filter of bounded size picks out of the third reading.  Equal
 sets are one class, named by a 128-bit digest of the set, so that copies cost a
 counter; a task emits the block keys of a set once however many copies it sees.
 Buckets give star edges (members to the smallest), never pairs.  Candidate
@@ -158,23 +160,39 @@ def _stars(batches):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def _sets(k: int):
+def _sets(k: int, sieve, bits: int):
+    """Shingle sets of the documents whose id passes the sieve."""
+
     def run(batches):
+        words = np.frombuffer(sieve.value, dtype=np.uint64)
         for batch in batches:
-            raw, offsets = text_bytes(batch.column(1))
-            wanted = batch.column(2).to_pylist()
-            for a, b in chunks(offsets):
-                sets = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
-                use = [i for i, s in enumerate(sets) if digest(s) == wanted[a + i]]
-                if use:
-                    part = batch.slice(a, b - a).take(pa.array(use))
-                    names = part.schema.names
-                    columns = [part.column(i) for i in range(len(names)) if i not in (1,)] + [pa.array([sets[i].tobytes() for i in use], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, [n for n in names if n != names[1]] + ["hashes"])
+            ids = batch.column(0)
+            at = mix(ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64).copy()) & np.uint64(bits - 1)
+            hit = np.flatnonzero((words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
+            for got, sets in _rows([batch.take(pa.array(hit))], k):
+                yield pa.RecordBatch.from_arrays([got, pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "digest", "hashes"])
 
     return run
 
 
+def _sieve(ids: DataFrame, column: str, count: int) -> tuple[bytes, int]:
+    """A one-hash Bloom filter: 16 bits an id, 2**16 bits at least and 2**28 (32 MB) at most."""
+    bits = 1 << min(28, max(16, (16 * count).bit_length()))
+
+    def mark(batches):
+        for batch in batches:
+            at = mix(batch.column(0).to_numpy().view(np.uint64).copy()) & np.uint64(bits - 1)
+            words, where = np.unique(at >> np.uint64(6), return_inverse=True)
+            value = np.zeros(len(words), dtype=np.uint64)
+            np.bitwise_or.at(value, where, np.uint64(1) << (at & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(value.view(np.int64))], ["word", "bits"])
+
+    marked = ids.where(F.col(column).isNotNull()).select(column).mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(bits >> 6, dtype=np.uint64)
+    words[marked.column("word").to_numpy()] = marked.column("bits").to_numpy().view(np.uint64)
+    return words.tobytes(), bits
+
+
 def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     label = np.arange(n)
     while len(left):
@@ -281,10 +299,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     member = member.join(weight.where("sets > 1").select("grp", cut.alias("cut")), "grp")
     member = materialize(member.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int")), "members")
 
-    wanted = member.select("node", "digest", "size", "grp", "chunk", "cut")
-    found = rows.join(wanted, rows["doc_id"] == wanted["node"]).select("node", "text", "digest", "size", "grp", "chunk", "cut").mapInArrow(
-        _sets(k), "node long, digest binary, size long, grp long, chunk int, cut int, hashes binary"
-    )
+    marks, bits = _sieve(member, "node", member.count())
+    sieve = docs.sparkSession.sparkContext.broadcast(marks)
+    found = rows.mapInArrow(_sets(k, sieve, bits), "node long, digest binary, hashes binary")
+    found = found.join(member.select("node", "digest", "size", "grp", "chunk", "cut").hint("merge"), ["node", "digest"])
     tasks = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1))).select(
         "grp", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "chunk", "node", "digest", "size", "hashes"
     )
