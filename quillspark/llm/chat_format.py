@@ -81,19 +81,27 @@ def _spans(formatted: Column) -> Column:
     return F.aggregate(F.filter(F.split(formatted, r"<\|end\|>\n"), lambda p: p != ""), zero, step)["out"]
 
 
-def expand(chats: DataFrame, texts: bool = True) -> DataFrame:
-    """One row per assistant turn: conv_id, example_no, context_chars, target_chars[, context, target].
+def expand(chats: DataFrame, keep: tuple[str, ...] = (), outer: bool = False) -> DataFrame:
+    """One row per assistant turn: conv_id, example_no, context_chars, target_chars, context, target.
 
     Only the target is trained on.  ``context`` and ``target`` are as written,
-    escapes included; the target ends with the end mark.
+    escapes included; the target ends with the end mark.  ``keep`` names further
+    columns of ``chats`` to carry; with ``outer`` a conversation without assistant
+    turns has one row of nulls.  The rows stay where their conversation is.
     """
     spans = F.filter(_spans(F.col("formatted")), lambda s: s["role"] == "assistant")
-    rows = chats.select("conv_id", "formatted", F.posexplode(spans).alias("example_no", "s"))
-    out = ["conv_id", F.col("example_no").cast("long").alias("example_no"), F.col("s.start").alias("context_chars"), (F.col("s.length") + len(END)).alias("target_chars")]
-    if texts:
-        start, length = F.col("s.start").cast("int"), F.col("s.length").cast("int")
-        out += [F.substring("formatted", F.lit(1), start).alias("context"), F.substring("formatted", start + 1, length + len(END)).alias("target")]
-    return rows.select(*out)
+    explode = F.posexplode_outer if outer else F.posexplode
+    rows = chats.select("conv_id", "formatted", *keep, explode(spans).alias("example_no", "s"))
+    start, length = F.col("s.start").cast("int"), F.col("s.length").cast("int")
+    return rows.select(
+        "conv_id",
+        *keep,
+        F.col("example_no").cast("long").alias("example_no"),
+        F.col("s.start").alias("context_chars"),
+        (F.col("s.length") + len(END)).alias("target_chars"),
+        F.substring("formatted", F.lit(1), start).alias("context"),
+        F.substring("formatted", start + 1, length + len(END)).alias("target"),
+    )
 
 
 def op4_chat_format(spark, sf_dir: str) -> DataFrame:
@@ -102,24 +110,23 @@ def op4_chat_format(spark, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text")
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    chats = format_chats(turns)
-    targets = expand(chats).select("conv_id", "example_no", F.expr(f"substring(target, 1, length(target) - {len(END)})").alias("reply"))
-    loss = targets.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example_no", "reply"))), lambda s: unescape(s["reply"])), "").alias("loss"))
     back = parse(F.col("formatted"))
-    whole = chats.select(
+    chats = format_chats(turns).select(
         "conv_id",
+        "formatted",
         F.size(back).cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform(back, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
-    mask = F.coalesce("loss", F.lit(""))
-    return whole.join(loss, "conv_id", "left").select(
-        "conv_id",
-        "n_turns",
-        "turns_sha256",
-        F.length(mask).cast("long").alias("loss_chars"),
-        F.sha2(mask, 256).alias("loss_sha256"),
-        "formatted_chars",
+    whole = ("n_turns", "turns_sha256", "formatted_chars")
+    examples = expand(chats, whole, outer=True)
+    reply = F.expr(f"substring(target, 1, length(target) - {len(END)})")
+    told = examples.groupBy("conv_id").agg(
+        *[F.first(c).alias(c) for c in whole], F.sort_array(F.collect_list(F.when(F.col("target").isNotNull(), F.struct("example_no", reply.alias("reply"))))).alias("said")
+    )
+    mask = F.array_join(F.transform("said", lambda s: unescape(s["reply"])), "")
+    return told.select(
+        "conv_id", "n_turns", "turns_sha256", F.length(mask).cast("long").alias("loss_chars"), F.sha2(mask, 256).alias("loss_sha256"), "formatted_chars"
     )
 
 
