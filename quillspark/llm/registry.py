@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat_format, exact_dedup, html_extract, language_id, ngram_join, packing, warc
+from . import ann, chat_format, exact_dedup, html_extract, language_id, ngram_join, packing, quality, warc
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_warc": warc.op7_warc,
+    "op8_quality": quality.op8_quality,
     "op9_language_id": language_id.op9_language_id,
     "op10_packing": packing.op10_packing,
 }
