@@ -49,3 +49,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def text_or_empty(column) -> F.Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
+
+
+def free_prefix(columns: list[str]) -> str:
+    """A prefix that no column name starts with."""
+    prefix = "_q_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = "_" + prefix
+    return prefix

@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import free_prefix, materialize, table, text_or_empty
+from .sieve import split
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, keep: str) -> DataFrame:
@@ -51,11 +52,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The rows of ``docs`` that stay, all their columns unchanged."""
-    stay = _groups(docs, id_col, text_col, keep).select(F.col("keep_id").alias("_id"), "_h")
-    rows = docs.withColumn("_quill_h", F.unhex(F.md5(text_or_empty(text_col).cast("binary"))))
-    kept = rows.join(stay, F.col(f"`{id_col}`").eqNullSafe(stay["_id"]) & (rows["_quill_h"] == stay["_h"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_quill_h"]).drop("_quill_h")
+    """The rows of ``docs`` that stay, all their columns unchanged.
+
+    Only rows that must go or that repeat another are joined; the others pass a
+    Bloom filter of bounded size on their way, and no text is moved for them.
+    """
+    h = free_prefix(docs.columns) + "hash"
+    found = exact_dedup(docs, id_col, text_col, keep).groupBy(F.col(id_col).alias("id"), F.unhex("text_sha256").alias("sha")).agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    look = materialize(found.where("not stays or n > 1"), "verdicts")
+    maybe, fine = split(docs, id_col, look.select("id"))
+    nulls = F.col(id_col).isNull()
+    rows = maybe.unionByName(fine.where(nulls)).withColumn(h, F.unhex(F.sha2(text_or_empty(text_col).cast("binary"), 256)))
+    gone = look.where("not stays").select(F.col("id").alias(h + "_id"), F.col("sha").alias(h + "_sha")).hint("merge")
+    rows = rows.join(gone, F.col(id_col).eqNullSafe(F.col(h + "_id")) & (F.col(h) == F.col(h + "_sha")), "left_anti")
+    return fine.where(~nulls).unionByName(rows.dropDuplicates([id_col, h]).drop(h))
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import free_prefix, table
 
 LENGTH = 400
 UNKNOWN = "und"
@@ -179,5 +179,6 @@ def op9_language_id(spark, sf_dir: str) -> DataFrame:
 def accepted(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
     """The rows whose text has a language, all columns unchanged; profiles learnt from the rows themselves."""
     profiles = learn(docs.where(~held_out()))
-    found = identify(docs, profiles, lang_out="_quill_lang", score_out="_quill_score")
-    return found.where((F.col("_quill_lang") != UNKNOWN) & (F.col("_quill_score") >= min_score)).select(*docs.columns)
+    p = free_prefix(docs.columns)
+    found = identify(docs, profiles, lang_out=p + "lang", score_out=p + "score")
+    return found.where((F.col(p + "lang") != UNKNOWN) & (F.col(p + "score") >= min_score)).select(*docs.columns)

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 from .components import connected_components
+from .sieve import Sieve, without
 from .words import chunks, mix, text_bytes, word_hashes
 
 BLOCK_BITS = 512
@@ -160,39 +161,18 @@ def _stars(batches):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def _sets(k: int, sieve, bits: int):
+def _sets(k: int, sieve: Sieve):
     """Shingle sets of the documents whose id passes the sieve."""
 
     def run(batches):
-        words = np.frombuffer(sieve.value, dtype=np.uint64)
         for batch in batches:
-            ids = batch.column(0)
-            at = mix(ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64).copy()) & np.uint64(bits - 1)
-            hit = np.flatnonzero((words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
-            for got, sets in _rows([batch.take(pa.array(hit))], k):
+            hit = batch.filter(sieve.passes(batch.column(0)))
+            for got, sets in _rows([hit], k):
                 yield pa.RecordBatch.from_arrays([got, pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "digest", "hashes"])
 
     return run
 
 
-def _sieve(ids: DataFrame, column: str, count: int) -> tuple[bytes, int]:
-    """A one-hash Bloom filter: 16 bits an id, 2**16 bits at least and 2**28 (32 MB) at most."""
-    bits = 1 << min(28, max(16, (16 * count).bit_length()))
-
-    def mark(batches):
-        for batch in batches:
-            at = mix(batch.column(0).to_numpy().view(np.uint64).copy()) & np.uint64(bits - 1)
-            words, where = np.unique(at >> np.uint64(6), return_inverse=True)
-            value = np.zeros(len(words), dtype=np.uint64)
-            np.bitwise_or.at(value, where, np.uint64(1) << (at & np.uint64(63)))
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(value.view(np.int64))], ["word", "bits"])
-
-    marked = ids.where(F.col(column).isNotNull()).select(column).mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros(bits >> 6, dtype=np.uint64)
-    words[marked.column("word").to_numpy()] = marked.column("bits").to_numpy().view(np.uint64)
-    return words.tobytes(), bits
-
-
 def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     label = np.arange(n)
     while len(left):
@@ -299,9 +279,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     member = member.join(weight.where("sets > 1").select("grp", cut.alias("cut")), "grp")
     member = materialize(member.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int")), "members")
 
-    marks, bits = _sieve(member, "node", member.count())
-    sieve = docs.sparkSession.sparkContext.broadcast(marks)
-    found = rows.mapInArrow(_sets(k, sieve, bits), "node long, digest binary, hashes binary")
+    sieve = Sieve(member, "node")
+    found = rows.mapInArrow(_sets(k, sieve), "node long, digest binary, hashes binary")
     found = found.join(member.select("node", "digest", "size", "grp", "chunk", "cut").hint("merge"), ["node", "digest"])
     tasks = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1))).select(
         "grp", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "chunk", "node", "digest", "size", "hashes"
@@ -325,9 +304,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, all columns unchanged."""
-    found = ngram_join(docs, id_col, text_col, **how).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(found["_keep"]), "left_semi")
+    """The rows of ``docs`` whose id is the smallest of its component, all columns unchanged.
+
+    Rows that share an id stay or go together; they stay if one of them may.
+    """
+    found = materialize(ngram_join(docs, id_col, text_col, **how).select(F.col(id_col).alias("id"), F.col(id_col).eqNullSafe(F.col("component_id")).alias("stays")), "verdicts")
+    gone = found.groupBy("id").agg(F.max("stays").alias("stays")).where("not stays").select("id")
+    return without(docs, id_col, gone)
 
 
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, chat_format, exact_dedup, html_extract, language_id, ngram_join, packing, quality, warc
+from . import ann, chat_format, exact_dedup, html_extract, language_id, mixing, ngram_join, packing, quality, warc
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
+    "op2_mixing": mixing.op2_mixing,
     "op3_ann_search": ann.op3_ann_search,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_ngram_join": ngram_join.op5_ngram_join,
