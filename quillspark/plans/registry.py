@@ -1,28 +1,4 @@
-"""Registered queries of the library proper, with their DuckDB oracles."""
+"""All registered queries of the library proper."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    """Add a query; ``sql`` is the oracle, or None where SQL cannot express it."""
-
-    def add(fn):
-        if name in QUERIES:
-            raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from . import queries_functions, queries_relational, queries_store, queries_text, queries_tree  # noqa: F401
+from .base import ORACLES, QUERIES, register, table  # noqa: F401
