@@ -45,9 +45,9 @@ DEFINITIONS: dict[str, tuple[str, str, str]] = {
     "q_substring3": ("x STRING, start INT, n INT", "STRING", "CASE WHEN start >= 1 THEN substring(x, start, n) ELSE substring(x, 1, greatest(n + start - 1, 0)) END"),
     # numbers
     "q_trunc": ("x DOUBLE", "BIGINT", "CAST(sign(x) * floor(abs(x)) AS BIGINT)"),
-    "q_trunc2": ("x DOUBLE, s INT", "DOUBLE", "sign(x) * floor(abs(x) * pow(10, s)) / pow(10, s)"),
+    "q_trunc2": ("x DOUBLE, s INT", "DOUBLE", "CASE WHEN abs(x) * pow(10, s) < 1e15 THEN sign(x) * floor(abs(x) * pow(10, s)) / pow(10, s) ELSE x END"),
     "q_round": ("x DOUBLE", "BIGINT", "CAST(round(x) AS BIGINT)"),
-    "q_round2": ("x DOUBLE, s INT", "DOUBLE", "sign(x) * floor(abs(x) * pow(10, s) + 0.5) / pow(10, s)"),
+    "q_round2": ("x DOUBLE, s INT", "DOUBLE", "CASE WHEN abs(x) * pow(10, s) < 1e15 THEN sign(x) * floor(abs(x) * pow(10, s) + 0.5) / pow(10, s) ELSE x END"),
     "q_mod": ("a BIGINT, b BIGINT", "BIGINT", "try_mod(a, b)"),
     "q_div": ("a BIGINT, b BIGINT", "BIGINT", "CASE WHEN b <> 0 THEN a div b END"),
     "q_log": ("x DOUBLE", "DOUBLE", "log10(x)"),

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from .shared import written
+
 LIMIT = 10_000
 
 
@@ -14,33 +15,24 @@ class RecursionLimit(RuntimeError):
     pass
 
 
-def _cut(df: DataFrame, every: int, step: int) -> DataFrame:
-    """Cut the lineage through the shared folder now and then; cache in between."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder and step % every == every - 1:
-        path = f"{folder.rstrip('/')}/recursion-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-    return df.persist()
-
-
-def fixed_point(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], limit: int = LIMIT, every: int = 8) -> DataFrame:
+def fixed_point(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], limit: int = LIMIT) -> DataFrame:
     """All rows reachable from ``anchor`` by ``step``, each once.
 
-    ``step`` gets the rows that were new in the round before.  New rows are what the
-    step yields and no earlier round had.
+    ``step`` gets the rows that were new in the round before; new rows are what it
+    yields and no earlier round had.  Each round is written to the shared folder,
+    so plans stay as long as one round and a lost executor costs one round.
     """
-    frontier = _cut(anchor.distinct(), every, 0)
-    seen = frontier
-    rounds = 0
+    spark, schema = anchor.sparkSession, anchor.schema
+    frontier, path = written(anchor.distinct(), "recursion")
+    paths = [path]
     while not frontier.isEmpty():
-        rounds += 1
-        if rounds > limit:
+        if len(paths) > limit:
             raise RecursionLimit(f"recursive query exceeded {limit} iterations")
         made = step(frontier)
         if len(made.columns) != len(anchor.columns):
             raise ValueError("anchor and recursive part differ in their number of columns")
-        frontier = _cut(made.toDF(*anchor.columns).distinct().subtract(seen), every, rounds)
-        seen = _cut(seen.union(frontier), every, rounds)
-    return seen
+        seen = spark.read.schema(schema).parquet(*paths)
+        made = made.select(*[made[c].cast(f.dataType).alias(f.name) for c, f in zip(made.columns, schema)])
+        frontier, path = written(made.subtract(seen), "recursion")
+        paths.append(path)
+    return spark.read.schema(schema).parquet(*paths)
