@@ -34,7 +34,7 @@ from .common import free_prefix, table
 
 LENGTH = 400
 UNKNOWN = "und"
-_CHARS = 1 << 19  # characters that are split at once; a longer text is a piece of its own
+_CHARS = 1 << 18  # characters that are split at once; a longer text is a piece of its own
 
 
 @functools.cache
@@ -42,6 +42,13 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
 
 
+def _slices(batches, rows: int = 500):
+    """Batches of few rows, so that few texts are Python strings at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def _pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     a = size = 0
     for i, t in enumerate(texts):
@@ -87,7 +94,7 @@ def _count(batches):
         first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
         return grams[first], np.add.reduceat(counts, first)
 
-    for batch in batches:
+    for batch in _slices(batches):
         texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for a, b in _pieces(texts):
             by: dict[str, list[np.ndarray]] = {}
@@ -153,7 +160,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
 
     def run(batches):
         table = Profiles(profiles, length) if profiles else None
-        for batch in batches:
+        for batch in _slices(batches):
             found = []
             texts = batch.column(at).to_pylist()
             for a, b in _pieces(texts):

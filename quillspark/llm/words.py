@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20  # bytes of text that are hashed at once; a longer text is a chunk of its own
+CHUNK = 1 << 19  # bytes of text that are hashed at once; a longer text is a chunk of its own
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
