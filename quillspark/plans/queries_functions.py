@@ -77,9 +77,9 @@ _dialect(
 )
 _dialect(
     "fn_match_score",
-    """SELECT item_id, match(text, 'the of') AS m, match(text, '') AS m0, round(score(text, 'the de'), 9) AS s, slug(left(text, 30)) AS sl FROM {benchmark}""",
+    """SELECT item_id, match(text, 'the of') AS m, match(text, '') AS m0, round(score(text, 'the de'), 9) AS s, slug(text) AS sl FROM {benchmark}""",
     r"""SELECT item_id, list_contains(t, 'the') AND list_contains(t, 'of') AS m, false AS m0, round((len(list_filter(t, lambda x: x = 'the')) + len(list_filter(t, lambda x: x = 'de'))) / len(t), 9) AS s,
-    regexp_replace(trim(regexp_replace(lower(left(text, 30)), '[^\p{L}\p{N} ]', '-', 'g')), '\s+', '-', 'g') AS sl FROM (SELECT *, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM benchmark)""",
+    regexp_replace(trim(regexp_replace(lower(text), '[^\p{L}\p{N} ]', '-', 'g')), '\s+', '-', 'g') AS sl FROM (SELECT *, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM benchmark)""",
 )
 _dialect(
     "fn_group_concat",
