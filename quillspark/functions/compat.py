@@ -23,8 +23,8 @@ DEFINITIONS: dict[str, tuple[str, str, str]] = {
     "score": (
         "content STRING, query STRING",
         "DOUBLE",
-        f"CASE WHEN size({_TOKENS.format('content')}) > 0 AND size({_TOKENS.format('query')}) > 0 THEN "
-        f"aggregate({_TOKENS.format('query')}, 0, (n, w) -> n + size(filter({_TOKENS.format('content')}, x -> x = w))) / size({_TOKENS.format('content')}) ELSE 0.0 END",
+        f"element_at(transform(array({_TOKENS.format('content')}), t -> CASE WHEN size(t) > 0 AND size({_TOKENS.format('query')}) > 0 THEN "
+        f"aggregate({_TOKENS.format('query')}, 0, (n, w) -> n + size(filter(t, x -> x = w))) / size(t) ELSE 0.0D END), 1)",
     ),
     "slug": ("x STRING", "STRING", r"regexp_replace(trim(regexp_replace(lower(x), '[^\\p{L}\\p{N} ]', '-')), '\\s+', '-')"),
     # strings

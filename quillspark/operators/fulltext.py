@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,28 +16,44 @@ def tokenize(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(F.col(c) if isinstance(c, str) else c), F.lit(WORD), 0)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _query(query: Column | str) -> Column:
+    """Tokens of a query; of a literal they are taken here, once."""
+    if isinstance(query, str):
+        words = [w for w in re.findall(r"\w+", query.lower().replace("_", " "))]
+        return F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
+    return tokenize(query)
+
+
 def match(content: Column | str, query: Column | str) -> Column:
     """Whether every query token is among the content's; an empty query matches nothing."""
-    q = tokenize(F.lit(query) if isinstance(query, str) else query)
+    q = _query(query)
     return (F.size(q) > 0) & (F.size(F.array_except(q, tokenize(content))) == 0)
 
 
 def score(content: Column | str, query: Column | str) -> Column:
     """Occurrences of the query's tokens (a repeated one counts again) by the content's number of tokens."""
-    t, q = tokenize(content), tokenize(F.lit(query) if isinstance(query, str) else query)
-    hits = F.aggregate(q, F.lit(0), lambda acc, w: acc + F.size(F.filter(t, lambda x: x == w)))
-    return F.when((F.size(t) > 0) & (F.size(q) > 0), hits / F.size(t)).otherwise(F.lit(0.0))
+    q = _query(query)
+
+    def of(t: Column) -> Column:
+        hits = F.aggregate(q, F.lit(0), lambda acc, w: acc + F.size(F.filter(t, lambda x: x == w)))
+        return F.when((F.size(t) > 0) & (F.size(q) > 0), hits / F.size(t)).otherwise(F.lit(0.0))
+
+    return let(tokenize(content), of)
 
 
 def postings(blocks: DataFrame, content: str = "content", keys: tuple[str, ...] = ("document_id", "ord")) -> DataFrame:
     """term, keys, tf: the inverted index as a table.
 
-    Counted inside each row before exploding, so the table is formed without a
-    shuffle.
+    Repetitions inside a block are summed on the map side, as a block's words are
+    next to each other there.
     """
-    t = tokenize(content)
-    counted = F.transform(F.array_distinct(t), lambda w: F.struct(w.alias("term"), F.size(F.filter(t, lambda x: x == w)).alias("tf")))
-    return blocks.select(*keys, F.explode(counted).alias("p")).select("p.term", *keys, "p.tf")
+    words = blocks.select(*keys, F.explode(tokenize(content)).alias("term"))
+    return words.groupBy("term", *keys).agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
 
 def postings_match(index: DataFrame, terms: list[str], keys: tuple[str, ...] = ("document_id", "ord")) -> DataFrame:

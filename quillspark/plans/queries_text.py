@@ -48,8 +48,7 @@ def postings_intersect_doc(spark, d):
     SELECT term, count(DISTINCT document_id) AS df, count(*) AS tf FROM t GROUP BY 1 HAVING count(DISTINCT document_id) >= 5""",
 )
 def term_df(spark, d):
-    words = document_nodes(spark, d).select("document_id", F.explode(ft.tokenize("content")).alias("term"))
-    return ft.document_frequency(words.groupBy("term", "document_id").agg(F.count(F.lit(1)).alias("tf"))).where("df >= 5")
+    return ft.document_frequency(ft.postings(document_nodes(spark, d), keys=("document_id",))).where("df >= 5")
 
 
 @register(
