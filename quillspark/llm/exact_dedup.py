@@ -1,11 +1,12 @@
 """Exact dedup: 128-bit content hash, stable survivor, byte comparison in the group.
 
-Plan.  One aggregation on (hash, whole text) forms the groups.  The hash leads
-the key, so rows are routed by 16 bytes; the text in the key makes the
-aggregator compare bytes, so two texts that share a hash form two groups.  The
-aggregation is combined on the map side: of a text that fills a third of a
-split one row leaves the split.  Verdicts then travel back to the rows by hash
-and SHA-256 only, never by text.
+Plan.  Texts stay where they are: rows of (id, hash, SHA-256) are grouped by hash,
+and only texts whose hash occurs twice, picked out of a second reading by a Bloom
+filter of bounded size, are moved for the byte comparison.  That is an aggregation
+on (hash, whole text): the hash leads the key, the text in the key makes the
+aggregator compare bytes, so two texts that share a hash form two groups.  It is
+combined on the map side: of a text that fills a third of a split one row leaves
+the split.  Verdicts travel back to the rows by hash and SHA-256, never by text.
 
 Defined cases: a null text is the empty text.  Texts are compared unchanged.
 A row without id can't be a survivor while a row with an id shares its text;
@@ -25,13 +26,25 @@ from .common import free_prefix, materialize, table, text_or_empty
 from .sieve import split
 
 
-def _groups(docs: DataFrame, id_col: str, text_col: str, keep: str) -> DataFrame:
-    """One row per distinct text: _h, _s, keep_id, group_size."""
+def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = text_or_empty(text_col).cast("binary")
+    return docs.select(F.col(id_col).alias("_id"), F.unhex(F.md5(text)).alias("_h"), F.unhex(F.sha2(text, 256)).alias("_s"))
+
+
+def _first_half(h: str = "_h"):
+    """The first 64 bits of the hash as a number."""
+    return F.conv(F.hex(F.substring(h, 1, 8)), 16, -10).cast("long")
+
+
+def _groups(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, keep: str) -> DataFrame:
+    """One row per distinct text that occurs twice or whose hash does: _h, _s, keep_id, group_size."""
     pick = {"min": F.min, "max": F.max}[keep]
-    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_t"))
-    rows = rows.select("_id", "_t", F.unhex(F.md5(F.col("_t").cast("binary"))).alias("_h"))
-    groups = rows.groupBy("_h", "_t").agg(pick("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return groups.select("_h", F.sha2(F.col("_t").cast("binary"), 256).alias("_s"), "keep_id", "group_size")
+    twice = materialize(rows.groupBy("_h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_h", _first_half().alias("k")), "hashes")
+    texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_t"))
+    texts = texts.select("_id", "_t", F.unhex(F.md5(F.col("_t").cast("binary"))).alias("_h")).withColumn("k", _first_half())
+    maybe, _ = split(texts, "k", twice.select("k"))
+    groups = maybe.groupBy("_h", "_t").agg(pick("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return groups.select("_h", F.unhex(F.sha2(F.col("_t").cast("binary"), 256)).alias("_s"), "keep_id", "group_size")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
@@ -39,15 +52,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``keep`` says whether the smallest or the largest id of equal texts stays.
     """
-    text = text_or_empty(text_col).cast("binary")
-    rows = docs.select(F.col(id_col).alias("_id"), F.unhex(F.md5(text)).alias("_h"), F.sha2(text, 256).alias("_s"))
-    joined = rows.join(_groups(docs, id_col, text_col, keep), ["_h", "_s"])
+    rows = _hashed(docs, id_col, text_col)
+    joined = rows.join(_groups(docs, rows, id_col, text_col, keep), ["_h", "_s"], "left")
+    alone = F.col("group_size").isNull()
+    keep_id = F.when(alone, F.col("_id")).otherwise(F.col("keep_id"))
     return joined.select(
         F.col("_id").alias(id_col),
-        "keep_id",
-        "group_size",
-        F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.col("_s").alias("text_sha256"),
+        keep_id.alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        F.col("_id").eqNullSafe(keep_id).alias("kept"),
+        F.lower(F.hex("_s")).alias("text_sha256"),
     )
 
 
