@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_path, materialize, table
+from .sieve import split
 
 MAGIC = b"\x1f\x8b\x08"
 _URN = "urn:quillspark:page:"
@@ -67,11 +68,15 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, rev
 def write_warc(pages: DataFrame, out: str, min_bytes: int = 0, level: int = 4, file_bytes: int = 1 << 30, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write page_id, url, html as WARC under the folder ``out``; the files as (path, bytes, records)."""
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("sha1", F.unhex(F.sha1("payload")))
-    same = rows.where(F.octet_length("payload") >= min_bytes).groupBy("sha1").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = rows.join(same.select("sha1", "first_id", F.lit(True).alias("shared")), "sha1", "left")
+    rows = rows.withColumn("sha1", F.unhex(F.sha1("payload"))).withColumn("k", F.conv(F.hex(F.substring("sha1", 1, 8)), 16, -10).cast("long"))
+    same = rows.where(F.octet_length("payload") >= min_bytes).groupBy("sha1", "k").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    same = materialize(same.select("sha1", "k", "first_id", F.lit(True).alias("shared")), "payloads")
+    # only pages whose payload may occur twice are moved to their group
+    maybe, single = split(rows, "k", same.select("k"))
+    maybe = maybe.drop("k").join(same.drop("k").hint("merge"), "sha1", "left")
+    single = single.drop("k").withColumns({"first_id": F.lit(None).cast(same.schema["first_id"].dataType), "shared": F.lit(None).cast("boolean")})
     revisit = F.coalesce(F.col("shared") & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.lit(False))
-    rows = rows.select("page_id", "url", "payload", "sha1", "first_id", revisit.alias("revisit"))
+    rows = single.unionByName(maybe).select("page_id", "url", "payload", "sha1", "first_id", revisit.alias("revisit"))
 
     def run(batches):
         fs, root = pafs.FileSystem.from_uri(out)
