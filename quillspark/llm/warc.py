@@ -239,7 +239,8 @@ def read_warc(files: DataFrame, split_bytes: int = 64 << 20, payloads: bool = Tr
                 if rows:
                     yield _records(rows)
 
-    return ranges.repartition("path", "start").mapInArrow(run, RECORDS)
+    n = files.select(F.sum(F.floor(F.col("bytes") / split_bytes) + 1)).first()[0] or 1
+    return ranges.repartition(int(n)).mapInArrow(run, RECORDS)  # a stated number: adaptive execution sees small rows and would make one task of all ranges
 
 
 def _records(rows):
