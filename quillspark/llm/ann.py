@@ -140,9 +140,10 @@ def fit(rows: DataFrame, k: int, sample_rows: int, cells: int, target: float) ->
     return Index(sample[:sample_rows], total, k, cells, target) if len(sample) else None
 
 
-def _layout(index: Index, block_rows: int, group_rows: int) -> tuple[np.ndarray, int]:
+def _layout(index: Index, block_rows: int, group_rows: int, tasks: int) -> tuple[np.ndarray, int]:
+    """(sub-cells of each cell, groups): enough groups for the tasks, none above ``group_rows``."""
     subs = np.maximum(1, np.ceil(index.share * index.total / block_rows)).astype(np.int64)
-    return subs, max(1, math.ceil(index.total / group_rows))
+    return subs, max(1, math.ceil(index.total / group_rows), min(tasks, math.ceil(index.total / 512)))
 
 
 def _group_of(cell, sub, groups: int):
@@ -151,11 +152,13 @@ def _group_of(cell, sub, groups: int):
 
 def _search(index_rows: DataFrame, query_rows: DataFrame, shared, k: int, probes: int, shortlist: int, block_rows: int, group_rows: int) -> DataFrame:
     """query_id, vec_id, score: the best of each group for each query."""
+    tasks = 2 * index_rows.sparkSession.sparkContext.defaultParallelism
+    kind = np.float32 if dict(index_rows.dtypes)["vec"] == "array<float>" else np.float64
     schema = "grp int, kind int, id long, vec binary, cell int, sub int, extra binary"
 
     def place(batches):
         index = shared.value
-        subs, groups = _layout(index, block_rows, group_rows)
+        subs, groups = _layout(index, block_rows, group_rows, tasks)
         for batch in batches:
             at, x = vectors(batch.column(1), index.dim)
             if not len(at):
@@ -170,7 +173,7 @@ def _search(index_rows: DataFrame, query_rows: DataFrame, shared, k: int, probes
                     pa.array(_group_of(near, sub, groups).astype(np.int32)),
                     pa.array(np.zeros(n, np.int32)),
                     pa.array(ids),
-                    pa.array([v.tobytes() for v in x], pa.binary()),
+                    pa.array([v.tobytes() for v in x.astype(kind)], pa.binary()),
                     pa.array(near.astype(np.int32)),
                     pa.array(sub.astype(np.int32)),
                     pa.array([c.tobytes() for c in codes], pa.binary()),
@@ -180,7 +183,7 @@ def _search(index_rows: DataFrame, query_rows: DataFrame, shared, k: int, probes
 
     def send(batches):
         index = shared.value
-        subs, groups = _layout(index, block_rows, group_rows)
+        subs, groups = _layout(index, block_rows, group_rows, tasks)
         holders = [np.unique(_group_of(np.full(s, c), np.arange(s), groups)) for c, s in enumerate(subs)]
         for batch in batches:
             at, q = vectors(batch.column(1), index.dim)
@@ -193,7 +196,7 @@ def _search(index_rows: DataFrame, query_rows: DataFrame, shared, k: int, probes
                 for c in cells.tolist():
                     for g in holders[c].tolist():
                         mine.setdefault(g, []).append(c)
-                raw = vec.tobytes()
+                raw = vec.astype(kind).tobytes()
                 out += [(int(g), 1, i, raw, 0, 0, np.array(cs, np.int32).tobytes()) for g, cs in mine.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _KINDS)], ["grp", "kind", "id", "vec", "cell", "sub", "extra"])
 
@@ -209,48 +212,49 @@ def _search(index_rows: DataFrame, query_rows: DataFrame, shared, k: int, probes
                     continue
                 if groups[a] != grp:
                     if ask:
-                        yield from _answers(index, ready, ask, k, shortlist)
+                        yield from _answers(index, ready, ask, k, shortlist, kind)
                     grp, held, ready, ask = groups[a], [], None, []
                 part = batch.slice(a, b - a)
                 if kinds[a] == 0:
                     held.append(part)
                     continue
                 if ready is None:
-                    ready, held = _cells(index, held), []
+                    ready, held = _cells(index, held, kind), []
                 for i, v, e in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(6).to_pylist()):
                     ask.append((i, v, e))
                     if len(ask) >= 256:
-                        yield from _answers(index, ready, ask, k, shortlist)
+                        yield from _answers(index, ready, ask, k, shortlist, kind)
                         ask = []
         if ask:
-            yield from _answers(index, ready, ask, k, shortlist)
+            yield from _answers(index, ready, ask, k, shortlist, kind)
 
     rows = index_rows.mapInArrow(place, schema).union(query_rows.mapInArrow(send, schema))
-    return rows.repartition("grp").sortWithinPartitions("grp", "kind").mapInArrow(score, RESULT)
+    _, groups = _layout(shared.value, block_rows, group_rows, tasks)
+    return rows.repartition(2 * groups, "grp").sortWithinPartitions("grp", "kind").mapInArrow(score, RESULT)
 
 
 _KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
 
 
-def _cells(index: Index, held: list[pa.RecordBatch]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _cells(index: Index, held: list[pa.RecordBatch], kind) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """cell -> (ids, vectors, codes) of what a group holds of it."""
     if not held:
         return {}
     whole = pa.Table.from_batches(held)
     ids, cell = whole.column("id").to_numpy(), whole.column("cell").to_numpy()
-    x = np.frombuffer(b"".join(whole.column("vec").to_pylist()), np.float64).reshape(-1, index.dim)
+    x = np.frombuffer(b"".join(whole.column("vec").to_pylist()), kind).reshape(-1, index.dim)
     codes = np.frombuffer(b"".join(whole.column("extra").to_pylist()), np.uint8).reshape(-1, index.parts)
     order = np.argsort(cell, kind="stable")
     cuts = np.flatnonzero(np.concatenate(([True], cell[order][1:] != cell[order][:-1]))).tolist() + [len(order)]
     return {int(cell[order[a]]): (ids[order[a:b]], x[order[a:b]], codes[order[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])}
 
 
-def _answers(index: Index, cells: dict, ask: list, k: int, shortlist: int):
+def _answers(index: Index, cells: dict, ask: list, k: int, shortlist: int, kind):
     """The ``k`` best in this group for a block of queries."""
     if not cells:
         return
     names = np.array([i for i, _, _ in ask], dtype=np.int64)
-    q = np.frombuffer(b"".join(v for _, v, _ in ask), np.float64).reshape(-1, index.dim)
+    q = np.frombuffer(b"".join(v for _, v, _ in ask), kind).reshape(-1, index.dim).astype(np.float64)
     q32 = q.astype(np.float32)
     lut, base = index.tables(q32), q32 @ index.coarse.T
     wanted: dict[int, list[int]] = {}
@@ -271,7 +275,7 @@ def _answers(index: Index, cells: dict, ask: list, k: int, shortlist: int):
             near[ids[part][None, :] == names[who][:, None]] = -np.inf
             take = min(shortlist, near.shape[1])
             pick = np.argpartition(-near, take - 1, axis=1)[:, :take] if take < near.shape[1] else np.tile(np.arange(take), (len(who), 1))
-            exact = np.einsum("qrd,qd->qr", x[part][pick], q[who])
+            exact = np.einsum("qrd,qd->qr", x[part][pick].astype(np.float64), q[who])
             exact[ids[part][pick] == names[who][:, None]] = -np.inf
             got_q.append(np.repeat(who, take))
             got_v.append(ids[part][pick].ravel())
@@ -299,7 +303,7 @@ def search(
     target: float = 0.97,
     shortlist: int = 32,
     block_rows: int = 4096,
-    group_rows: int = 16_384,
+    group_rows: int = 131_072,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` rows with the largest inner product for each query."""
     spark = rows.sparkSession
