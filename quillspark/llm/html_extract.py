@@ -4,7 +4,8 @@ A page is a sequence in which words score positive and tags negative; one linear
 scan finds the contiguous run with the greatest sum.  Scores come from labelled
 pages.  The pages also show which elements (by tag name, class, id or role) hold
 no article text; such an element enters the sequence as one tag, and its words
-are not part of it, wherever it stands.  The text is the words of the best run.
+are not part of it, wherever it stands.  So does text beside the article or main
+element of a page that has one of weight.  The text is the words of the best run.
 
 Within the run, character references are decoded, white space inside a block
 becomes one space, blocks are trimmed and joined by one space in page order.
@@ -40,6 +41,7 @@ _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+)>|<(/?)([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""",
     re.S,
 )
+_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
@@ -49,16 +51,18 @@ _WORD = re.compile(r"\S+")
 
 
 class Scores:
-    """What the labelled pages teach: ``boxes`` are features of elements without article text, ``tags`` the score of each tag, ``word`` of a word."""
+    """What the labelled pages teach: ``boxes`` are features of elements without article text, ``tags`` the score of each tag, ``word`` of a word; ``framed``: a page's article or main element holds all article text."""
 
-    def __init__(self, boxes: frozenset, tags: dict[str, float], word: float, link: float, other: float):
-        self.boxes, self.tags, self.word, self.link, self.other = boxes, tags, word, link, other
+    def __init__(self, boxes: frozenset, tags: dict[str, float], word: float, link: float, other: float, framed: bool):
+        self.boxes, self.tags, self.word, self.link, self.other, self.framed = boxes, tags, word, link, other, framed
 
 
 def features(name: str, attrs: str) -> list[str]:
-    """Names under which an element is known: its tag; its class, id and role values and their parts."""
+    """Names under which an element is known: its tag; whether it is hidden; its class, id and role values and their parts."""
     out = [name]
     if attrs and name not in _SHELL:
+        if _HIDDEN.search(attrs):
+            out.append("hidden")
         for kind, a, b, c in _ATTR.findall(attrs):
             value = (a or b or c).lower()
             if kind.lower() == "role":
@@ -121,12 +125,12 @@ class _Stack:
 
 
 def sequence(page: str, boxes: frozenset):
-    """(tag or '', text or '', inside a link) for each token; boxes are one tag each."""
+    """(tag or '', text or '', inside a link, inside an article or main element) for each token; boxes are one tag each."""
     stack, box = _Stack(), None
     for kind, name, extra, at in scan(page):
         if kind == "text":
             if box is None:
-                yield "", extra, bool(stack.open["a"])
+                yield "", extra, bool(stack.open["a"]), bool(stack.open["article"] or stack.open["main"])
             continue
         if kind == "open":
             if box is not None and name in ("article", "main") and page.find("</" + stack.names[box], at) < 0:
@@ -140,17 +144,26 @@ def sequence(page: str, boxes: frozenset):
             if box is None:
                 if name in _RAW or name == "head" or any(f in boxes for f in features(name, extra)):
                     inside = "in" if stack.open["article"] or stack.open["main"] else "out"
-                    yield "box-" + inside, "", False
+                    yield "box-" + inside, "", False, False
                     if name not in _VOID:
                         box = depth
                 else:
-                    yield name, "", False
+                    yield name, "", False, False
         else:
             stack.pop(name)
             if box is not None and len(stack.names) <= box:
                 box = None
             elif box is None:
-                yield "/" + name, "", False
+                yield "/" + name, "", False, False
+
+
+def _framed(tokens: list) -> bool:
+    """Whether an article or main element holds a fifth of the words at least."""
+    inside = outside = 0
+    for _, text, _, within in tokens:
+        n = len(text.split())
+        inside, outside = inside + n * within, outside + n * (not within)
+    return inside > 0 and 4 * inside >= outside
 
 
 @functools.lru_cache(maxsize=2)
@@ -190,6 +203,7 @@ def fit(pages: list[Page], share: float = 0.02, support: int = 3) -> Scores:
     inline = {"a", "b", "em", "span", "li", "p", "div", "ul", "ol", "section"}
     boxes = frozenset(f for f, (out, art, k) in seen.items() if k >= support and art <= share * (out + art) and f not in inline)
     inside, outside, words = Counter(), Counter(), {False: [1, 1], True: [1, 1]}
+    beside = [0, 0]
     for page in pages:
         source = "".join(f for f, _ in page)
         starts, at = [], 0
@@ -199,9 +213,12 @@ def fit(pages: list[Page], share: float = 0.02, support: int = 3) -> Scores:
             at += len(fragment)
         article = {" ".join(f.split()) for f, kind in page if kind is True}
         tokens = list(sequence(source, boxes))
-        hits = [i for i, (_, text, _l) in enumerate(tokens) if text and " ".join(text.split()) in article]
+        framed = _framed(tokens)
+        hits = [i for i, (_, text, _l, _w) in enumerate(tokens) if text and " ".join(text.split()) in article]
         first, last = (hits[0], hits[-1]) if hits else (0, -1)
-        for i, (tag, text, link) in enumerate(tokens):
+        for i, (tag, text, link, within) in enumerate(tokens):
+            if framed and text.split() and not within:
+                beside[" ".join(text.split()) in article] += len(text.split())
             if tag:
                 (inside if first <= i <= last else outside)[tag] += 1
             elif text.split():
@@ -210,7 +227,7 @@ def fit(pages: list[Page], share: float = 0.02, support: int = 3) -> Scores:
     tags = {t: min(-0.01, odds(inside[t], outside[t])) for t in {*inside, *outside}}
     for t in ("article", "/article", "main", "/main", "box-in"):  # the frame of an article never costs more than a word
         tags[t] = max(tags.get(t, -0.01), -0.01)
-    return Scores(boxes, tags, max(0.05, odds(words[False][1], words[False][0])), max(0.05, odds(words[True][1], words[True][0])), -0.5)
+    return Scores(boxes, tags, max(0.05, odds(words[False][1], words[False][0])), max(0.05, odds(words[True][1], words[True][0])), -0.5, beside[1] <= share * sum(beside))
 
 
 def extract_text(page: str | None, scores: Scores | None = None) -> str:
@@ -219,8 +236,10 @@ def extract_text(page: str | None, scores: Scores | None = None) -> str:
         return ""
     scores = scores or default_scores()
     tokens = list(sequence(page, scores.boxes))
+    if scores.framed and _framed(tokens):
+        tokens = [t if t[0] or t[3] or not t[1].strip() else ("box-out", "", False, False) for t in tokens]
     best, best_span, total, begin = 0.0, (0, 0), 0.0, 0
-    for i, (tag, text, link) in enumerate(tokens):
+    for i, (tag, text, link, _) in enumerate(tokens):
         if tag:
             total += scores.tags.get(tag, -0.01 if tag.lstrip("/") in _INLINE else scores.other)
         else:
@@ -230,7 +249,7 @@ def extract_text(page: str | None, scores: Scores | None = None) -> str:
         if total < 0:
             total, begin = 0.0, i + 1
     blocks, now = [], []
-    for tag, text, _ in tokens[best_span[0] : best_span[1]]:
+    for tag, text, _, _ in tokens[best_span[0] : best_span[1]]:
         if not tag:
             now.append(text)
         elif tag.lstrip("/") not in _INLINE and now:

@@ -57,6 +57,8 @@ def _box(rng: random.Random) -> Page:
     attr = f' {rng.choice(["class", "class", "id"])}="{name}"' if name else ""
     if tag == "div" and rng.random() < 0.1:
         attr = f' role="{rng.choice(_ROLES)}"'
+    elif tag == "div" and rng.random() < 0.1:
+        attr = rng.choice([" hidden", ' aria-hidden="true"', ' style="display:none"', ' class="x" hidden'])
     out: Page = [(f"<{tag}{attr}>", None)]
     style = rng.randrange(4)
     if style == 0:

@@ -25,6 +25,10 @@ BODY = "Alpha beta gamma delta epsilon zeta eta theta iota kappa."
         (f"<article><p>{BODY} a<b>b</b>c &lt;i&gt; &copy;&nbsp;d</p></article>", f"{BODY} abc <i> © d"),
         (f"<div id='page'><div class='page-content'><p>{BODY}</p></div></div>", BODY),
         (f"<article><p>{BODY}</p></article><form><label>Mail me news</label></form><div class='cookie-notice'>we use them</div>", BODY),
+        (f"<main><p>{BODY}</p><div hidden>not seen</div><div style='display: none'>nor this</div></main>", BODY),
+        (f"<div class='wrap'><div class='top-nav'>x y</div><div class='story-body'><h2>T</h2><p>{BODY}</p><ul><li>a</li><li>b</li></ul></div><section class='reader-comments'><article>me too</article></section></div>", f"T {BODY} a b"),
+        (f"<div>Jump to it here</div><article><p>{BODY}</p></article><div><a>Back up now</a> and some more</div>", BODY),
+        (f"<div><h1>T</h1><p>{BODY}</p></div><div class='related'><article>other news</article></div>", f"T {BODY}"),
         ("<a href='x", ""),
     ],
 )
