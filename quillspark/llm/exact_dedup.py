@@ -52,7 +52,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``keep`` says whether the smallest or the largest id of equal texts stays.
     """
-    rows = _hashed(docs, id_col, text_col)
+    rows = materialize(_hashed(docs, id_col, text_col), "hashed")
     joined = rows.join(_groups(docs, rows, id_col, text_col, keep), ["_h", "_s"], "left")
     alone = F.col("group_size").isNull()
     keep_id = F.when(alone, F.col("_id")).otherwise(F.col("keep_id"))
