@@ -315,3 +315,23 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
+
+
+ORACLE = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))
+                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE []::VARCHAR[] END AS sh FROM w
+), e AS (
+  SELECT doc_id, hash(g) AS g, n FROM (SELECT doc_id, unnest(sh) AS g, len(sh) AS n FROM s)
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a
+)
+SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, coalesce(k.n, 0) AS n_similar, c.component_id
+FROM s LEFT JOIN (SELECT a, count(*) AS n FROM p GROUP BY a) k ON k.a = s.doc_id
+JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = s.doc_id
+"""

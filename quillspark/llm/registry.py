@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op4_chat_format": chat_format.ORACLE,
+    "op5_ngram_join": ngram_join.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op7_warc": warc.ORACLE,
 }
