@@ -46,6 +46,7 @@ class DocumentStore:
     def __init__(self, spark: SparkSession, spans: bool = True, location: str | None = None):
         self.spark = spark.newSession()
         self.spark.conf.set("spark.sql.cteRecursionLevelLimit", "10000")
+        self.spark.conf.set("spark.sql.ansi.enabled", "false")  # x / 0, a bad cast or index is NULL, not an error
         self.spans = spans
         self.location = location
         self._texts = self.spark.createDataFrame([], TEXTS)
@@ -80,6 +81,17 @@ class DocumentStore:
     def add_paths(self, paths: list[str], recursive: bool = True) -> None:
         self.add_table(sources.markdown_files(self.spark, paths, recursive))
 
+    def append_str(self, text: str, path: str = "") -> int:
+        """Add and, in a saved store, save."""
+        doc = self.add_str(text, path)
+        if self.location:
+            self.save()
+        return doc
+
+    def append_file(self, path: str) -> int:
+        with open(path, encoding="utf-8") as f:
+            return self.append_str(f.read(), str(path))
+
     def replace_document(self, doc: int, text: str, path: str | None = None) -> None:
         hit = F.col("id") == doc
         if self._texts.where(hit).isEmpty():
@@ -125,6 +137,10 @@ class DocumentStore:
     def stats(self) -> DataFrame:
         return zonemaps.block_statistics(self.blocks())
 
+    def totals(self) -> DataFrame:
+        """documents, blocks: one row."""
+        return self._texts.agg(F.count(F.lit(1)).alias("documents")).crossJoin(self.blocks().agg(F.count(F.lit(1)).alias("blocks")))
+
     def query(self) -> Query:
         return Query(self.blocks(), self.zone_maps())
 
@@ -190,6 +206,25 @@ class DocumentStore:
         store.views = dict(meta["views"])
         return store
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> DocumentStore:
+        """``open`` with the tables kept in memory."""
+        store = cls.open(spark, path)
+        store._texts, store._blocks = store._texts.persist(), store._blocks.persist()
+        return store
+
+    @classmethod
+    def file_version(cls, spark: SparkSession, path: str) -> int:
+        return cls._meta(spark, path)["schema_version"]
+
+    @classmethod
+    def migrate(cls, spark: SparkSession, path: str) -> tuple[int, int]:
+        """Write the store anew if it is of an older version; (version before, after)."""
+        before = cls.file_version(spark, path)
+        if before < VERSION:
+            cls.open(spark, path).save(path)
+        return before, VERSION
+
     @classmethod
     def catalog(cls, spark: SparkSession, path: str) -> DataFrame:
         """The zone maps alone."""

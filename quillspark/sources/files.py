@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,9 +12,12 @@ GLOB = "*.{md,markdown}"
 
 
 def markdown_files(spark: SparkSession, paths: list[str], recursive: bool = True) -> DataFrame:
-    """path, text of the Markdown files under the paths; a path that does not exist is an error for a file and nothing for a folder without such files."""
+    """path, text of the Markdown files under the paths; other files are passed over, a local path that does not exist is warned of."""
     frames = []
     for p in paths:
+        if "://" not in p and not os.path.exists(p) and not any(c in p for c in "*?[{"):
+            warnings.warn(f"no such path: {p}", stacklevel=2)
+            continue
         how = {}
         if "://" not in p and os.path.isfile(p):
             if not p.endswith((".md", ".markdown")):
