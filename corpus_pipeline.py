@@ -10,6 +10,13 @@ with its columns; the last returns the pieces of the packed sequences.
 * mixing: documents are drawn so that sources, languages and topics have their
   target shares of the words.
 * packing: documents are cut into sequences of 128 to 1024 tokens.
+
+Defined cases: null and empty texts have no language and go in the first stage.
+Rows repeated whole are one document after the second.  A null id stays with its
+row and is packed under the null id; of equal texts a row with an id is preferred.
+Null sources and languages are values of their own in mixing.  Columns besides
+doc_id, text, lang and source are carried along, whatever their names.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
