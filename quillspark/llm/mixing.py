@@ -10,7 +10,7 @@ draw is the same in every run, on any partitioning.
 
 Rows are aggregated to cells on the map side.  Up to ``max_cells`` cells (counted
 first) are raked on the driver and broadcast back; more are raked by DataFrame
-rounds and joined by a shuffle.  Only numbers per cell differ in the two ways, by
+rounds, of which only sums reach the driver, and joined by a shuffle.  Only numbers per cell differ in the two ways, by
 rounding.
 
 Defined cases: null and empty texts have no tokens and take their cell's
@@ -55,14 +55,15 @@ def topic(text: str = "text") -> Column:
     )
 
 
-def flatten(power: float):
+class flatten:
     """Targets from observed shares: their powers, scaled; a power below 1 lifts the rare."""
 
-    def of(shares: pd.Series) -> dict:
-        p = shares.clip(lower=0) ** power
-        return (p / p.sum()).to_dict() if p.sum() else {}
+    def __init__(self, power: float):
+        self.power = power
 
-    return of
+    def __call__(self, shares: pd.Series) -> dict:
+        p = shares.clip(lower=0) ** self.power
+        return (p / p.sum()).to_dict() if p.sum() else {}
 
 
 def _targets(shares: pd.Series, target) -> pd.Series:
@@ -120,18 +121,31 @@ def factor(weights: np.ndarray, mass: np.ndarray, budget: float | None) -> float
     return 1 / w[-1]
 
 
+def _goal_table(state: DataFrame, d: str, target, total: float) -> DataFrame:
+    """value, goal of one marginal; nothing but sums reaches the driver."""
+    share = state.groupBy(d).agg((F.sum("tokens") / F.lit(max(total, 1.0))).alias("share")).where("share > 0")
+    if isinstance(target, flatten):
+        raw = share.select(F.col(d).alias("_v"), F.pow("share", F.lit(target.power)).alias("goal"))
+    elif callable(target):
+        raise ValueError("with this many cells a target must be a map or flatten(power)")
+    else:
+        listed = share.sparkSession.createDataFrame([(k, float(v)) for k, v in (target or {}).items()], "_k string, listed double")
+        both = share.join(listed, share[d].eqNullSafe(listed["_k"]), "left")
+        given, free = both.agg(F.coalesce(F.sum("listed"), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("listed").isNull(), F.col("share"))), F.lit(0.0))).first()
+        left = 1.0 if not given else max(0.0, 1 - given)
+        raw = both.select(F.col(d).alias("_v"), F.coalesce("listed", F.col("share") / F.lit(free or 1.0) * F.lit(left)).alias("goal"))
+    whole = raw.agg(F.sum("goal")).first()[0] or 1.0
+    return materialize(raw.withColumn("goal", F.col("goal") * F.lit(total / whole)), "goals")
+
+
 def _rake_wide(cells: DataFrame, dims: list[str], targets: dict, budget: float | None, rounds: int = 25) -> DataFrame:
-    """``rake`` and ``factor`` for more cells than a driver holds; needs targets that are maps of bounded size or functions of shares."""
+    """``rake`` and ``factor`` for more cells than a driver holds."""
     state = materialize(cells.withColumn("w", F.lit(1.0)), "rake")
     total = float(state.agg(F.sum("tokens")).first()[0] or 0)
-    goals = {}
-    for d, target in targets.items():
-        share = state.groupBy(d).agg((F.sum("tokens") / F.lit(max(total, 1.0))).alias("share")).toPandas().set_index(d)["share"]
-        goal = _targets(share, target)
-        goals[d] = cells.sparkSession.createDataFrame([(None if pd.isna(k) else k, float(v) * total) for k, v in goal.items()], f"{d} string, goal double")
+    goals = {d: _goal_table(state, d, target, total) for d, target in targets.items()}
     for _ in range(rounds):
         for d in targets:
-            now = state.groupBy(d).agg(F.sum(F.col("w") * F.col("tokens")).alias("now")).alias("n").join(goals[d].alias("g"), F.col(f"n.{d}").eqNullSafe(F.col(f"g.{d}")), "left")
+            now = state.groupBy(d).agg(F.sum(F.col("w") * F.col("tokens")).alias("now")).alias("n").join(goals[d].alias("g"), F.col(f"n.{d}").eqNullSafe(F.col("g._v")), "left")
             ratio = now.select(F.col(f"n.{d}").alias("_v"), F.when(F.col("now") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("now")).otherwise(1.0).alias("ratio"))
             state = state.join(ratio, state[d].eqNullSafe(ratio["_v"])).withColumn("w", F.col("w") * F.col("ratio")).drop("_v", "ratio")
         state = materialize(state, "rake")
