@@ -76,7 +76,7 @@ register_sql("cte_shadowing", "WITH nation AS (SELECT n_regionkey FROM {nation}
 register_sql("cte_recursive_seq", "WITH RECURSIVE s(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM s WHERE n < 50) SELECT s.n, count(p_partkey) AS parts FROM s LEFT JOIN {part} ON p_size = s.n GROUP BY s.n")
 
 
-@register("cte_recursive_dedup", "WITH RECURSIVE r(n) AS (SELECT n_nationkey::BIGINT FROM nation WHERE n_nationkey < 3 UNION SELECT (n * 7 + 3) % 101 FROM r) SELECT n FROM r")
+@register("cte_recursive_dedup", "WITH RECURSIVE r(n) AS (SELECT n_nationkey::BIGINT FROM nation WHERE n_nationkey < 3 UNION SELECT (n * n + 3) % 101 FROM r) SELECT n FROM r")
 def cte_recursive_dedup(spark, d):
     anchor = table(spark, d, "nation").where("n_nationkey < 3").select(F.col("n_nationkey").cast("long").alias("n"))
-    return fixed_point(anchor, lambda new: new.select(((F.col("n") * 7 + 3) % 101).alias("n")))
+    return fixed_point(anchor, lambda new: new.select(((F.col("n") * F.col("n") + 3) % 101).alias("n")))
