@@ -8,7 +8,9 @@ with its columns; the last returns the pieces of the packed sequences.
 * exact_dedup: of equal texts the smallest id stays.
 * ngram_join: of each group of linked near duplicates the smallest id stays.
 * mixing: documents are drawn so that sources, languages and topics have their
-  target shares of the words.
+  target shares of the words; three tenths of the words (``mixing.LEAST_SHARE``)
+  are kept at least, even if sources, languages or topics that are too rare for
+  their target then stay below it.
 * packing: documents are cut into sequences of 128 to 1024 tokens.
 
 Defined cases: null and empty texts have no language and go in the first stage.

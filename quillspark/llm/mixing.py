@@ -3,9 +3,12 @@
 Token totals of the cells (source x language x topic) are raked: each round
 multiplies the cells of a marginal so that its shares meet their targets, in turn
 for all marginals, until every share is met.  A document's probability is its
-cell's weight times one factor, the largest for which no probability exceeds 1
-(or the one that meets ``budget``, with probabilities cut at 1), so expected token
-shares are the targets.  Documents are then drawn by a hash of their id: the
+cell's weight times one factor, the largest for which no probability exceeds 1, so
+expected token shares are the targets.  Where that factor keeps less than
+``least_share`` of the tokens (one tiny cell far below its target is enough), or a
+``budget_share`` is given, the factor is the one that keeps this share, with
+probabilities cut at 1: cells that lack the tokens for their target are kept whole
+and their shares stay below it.  Documents are then drawn by a hash of their id: the
 draw is the same in every run, on any partitioning.
 
 Rows are aggregated to cells on the map side.  Up to ``max_cells`` cells (counted
@@ -34,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import free_prefix, materialize, table
 
 DIMS = ("source", "lang", "topic")
+#: Share of the tokens that mixing keeps at least, however rare the rarest cell is.
+LEAST_SHARE = 0.3
 
 
 def tokens(text: str = "text") -> Column:
@@ -102,14 +107,16 @@ def rake(cells: pd.DataFrame, targets: dict, rounds: int = 200, tolerance: float
     return w
 
 
-def factor(weights: np.ndarray, mass: np.ndarray, budget: float | None) -> float:
-    """What makes probabilities of weights: the largest that needs no cut, or the one whose cut probabilities meet the budget."""
+def factor(weights: np.ndarray, mass: np.ndarray, budget: float | None, least: float = 0.0) -> float:
+    """What makes probabilities of weights: the largest that needs no cut, if it keeps ``least``; else the one whose cut probabilities meet the budget, or ``least``."""
     use = (mass > 0) & (weights > 0)
     if not use.any():
         return 1.0
     w, m = weights[use], mass[use]
     if budget is None:
-        return 1 / w.max()
+        if (w @ m) / w.max() >= least:
+            return 1 / w.max()
+        budget = least
     order = np.argsort(-w)
     w, m = w[order], m[order]
     rest = np.cumsum((w * m)[::-1])[::-1]
@@ -138,7 +145,7 @@ def _goal_table(state: DataFrame, d: str, target, total: float) -> DataFrame:
     return materialize(raw.withColumn("goal", F.col("goal") * F.lit(total / whole)), "goals")
 
 
-def _rake_wide(cells: DataFrame, dims: list[str], targets: dict, budget: float | None, rounds: int = 25) -> DataFrame:
+def _rake_wide(cells: DataFrame, dims: list[str], targets: dict, budget: float | None, rounds: int = 25, least: float = 0.0) -> DataFrame:
     """``rake`` and ``factor`` for more cells than a driver holds."""
     state = materialize(cells.withColumn("w", F.lit(1.0)), "rake")
     total = float(state.agg(F.sum("tokens")).first()[0] or 0)
@@ -151,6 +158,8 @@ def _rake_wide(cells: DataFrame, dims: list[str], targets: dict, budget: float |
         state = materialize(state, "rake")
     top = float(state.where("tokens > 0").agg(F.max("w")).first()[0] or 1.0)
     s = 1 / top if top else 1.0
+    if budget is None and float(state.agg(F.sum(F.col("w") * F.col("tokens"))).first()[0] or 0) * s < least:
+        budget = least
     if budget is not None:
         low, high = 0.0, 1e12
         for _ in range(60):
@@ -160,18 +169,18 @@ def _rake_wide(cells: DataFrame, dims: list[str], targets: dict, budget: float |
     return state.select(*dims, F.col("w").alias("weight"), F.least(F.lit(1.0), F.col("w") * s).alias("probability"))
 
 
-def weighted_cells(rows: DataFrame, targets: dict, budget_share: float | None = None, max_cells: int = 50_000) -> DataFrame:
+def weighted_cells(rows: DataFrame, targets: dict, budget_share: float | None = None, max_cells: int = 50_000, least_share: float = LEAST_SHARE) -> DataFrame:
     """dims, weight, probability of each cell; ``rows`` has the dims and ``tokens``."""
     dims = list(targets)
     cells = materialize(rows.groupBy(*dims).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")), "cells")
     n = cells.count()
     if n > max_cells:
         total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-        return _rake_wide(cells, dims, targets, None if budget_share is None else budget_share * total)
+        return _rake_wide(cells, dims, targets, None if budget_share is None else budget_share * total, least=least_share * total)
     got = cells.toPandas().sort_values(dims, na_position="first", ignore_index=True)
     weight = rake(got.assign(**{d: got[d].where(got[d].notna(), None).map(lambda v: ("",) if v is None else v) for d in dims}), targets)
     mass = got["tokens"].to_numpy(dtype=float)
-    p = np.minimum(1.0, weight * factor(weight, mass, None if budget_share is None else budget_share * mass.sum()))
+    p = np.minimum(1.0, weight * factor(weight, mass, None if budget_share is None else budget_share * mass.sum(), least_share * mass.sum()))
     made = [(*(None if pd.isna(v) else v for v in row), float(w), float(q)) for row, w, q in zip(got[dims].itertuples(index=False), weight, p)]
     schema = ", ".join(f"`{d}` string" for d in dims) + ", weight double, probability double"
     return F.broadcast(cells.sparkSession.createDataFrame(made, schema))
@@ -182,12 +191,12 @@ def draw(id_col: str, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(seed)), 11).cast("double") * F.lit(2.0**-53)
 
 
-def _drawn(docs: DataFrame, targets: dict, dims: dict[str, Column], id_col: str, text_col: str, budget_share, seed: int, max_cells: int) -> tuple[DataFrame, str]:
+def _drawn(docs: DataFrame, targets: dict, dims: dict[str, Column], id_col: str, text_col: str, budget_share, seed: int, max_cells: int, least_share: float) -> tuple[DataFrame, str]:
     """``docs`` with the dims, tokens, weight, probability and selected under a prefix of their own."""
     p = free_prefix(docs.columns)
     rows = docs.select(*docs.columns, *[c.cast("string").alias(p + d) for d, c in dims.items()], tokens(text_col).alias(p + "tokens"))
     flat = rows.select(*[F.col(p + d).alias(d) for d in dims], F.col(p + "tokens").alias("tokens"))
-    cells = weighted_cells(flat, {d: targets.get(d) for d in dims}, budget_share, max_cells)
+    cells = weighted_cells(flat, {d: targets.get(d) for d in dims}, budget_share, max_cells, least_share)
     cells = cells.select(*[F.col(d).alias(f"{p}cell_{d}") for d in dims], F.col("weight").alias(p + "weight"), F.col("probability").alias(p + "probability"))
     on = functools.reduce(lambda x, y: x & y, [F.col(p + d).eqNullSafe(F.col(f"{p}cell_{d}")) for d in dims])
     drawn = rows.join(cells, on, "left").drop(*[f"{p}cell_{d}" for d in dims])
@@ -202,21 +211,22 @@ def _dims(text_col: str) -> dict[str, Column]:
     return {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(text_col)}
 
 
-def mix(docs: DataFrame, targets: dict = DEFAULT_TARGETS, dims: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text", budget_share: float | None = None, seed: int = 42, max_cells: int = 50_000) -> DataFrame:
+def mix(docs: DataFrame, targets: dict = DEFAULT_TARGETS, dims: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text", budget_share: float | None = None, seed: int = 42, max_cells: int = 50_000, least_share: float = LEAST_SHARE) -> DataFrame:
     """One row per document: id, the dims, tokens, weight, probability, selected.
 
     ``dims`` are the marginals as columns of ``docs`` (source, lang and the topic
     of the text, if not given); ``targets`` has, for each, a map from value to
-    share or a function of the observed shares.
+    share or a function of the observed shares.  Expected to be kept are
+    ``budget_share`` of the tokens or, if not given, ``least_share`` at least.
     """
     dims = dims or _dims(text_col)
-    drawn, p = _drawn(docs, targets, dims, id_col, text_col, budget_share, seed, max_cells)
+    drawn, p = _drawn(docs, targets, dims, id_col, text_col, budget_share, seed, max_cells, least_share)
     return drawn.select(F.col(id_col), *[F.col(p + c).alias(c) for c in [*dims, "tokens", "weight", "probability", "selected"]])
 
 
-def survivors(docs: DataFrame, targets: dict = DEFAULT_TARGETS, dims: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text", budget_share: float | None = None, seed: int = 42, max_cells: int = 50_000) -> DataFrame:
+def survivors(docs: DataFrame, targets: dict = DEFAULT_TARGETS, dims: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text", budget_share: float | None = None, seed: int = 42, max_cells: int = 50_000, least_share: float = LEAST_SHARE) -> DataFrame:
     """The drawn rows, all columns unchanged."""
-    drawn, p = _drawn(docs, targets, dims or _dims(text_col), id_col, text_col, budget_share, seed, max_cells)
+    drawn, p = _drawn(docs, targets, dims or _dims(text_col), id_col, text_col, budget_share, seed, max_cells, least_share)
     return drawn.where(p + "selected").select(*docs.columns)
 
 

@@ -58,6 +58,19 @@ def test_budget_is_met_with_cuts():
     assert (np.minimum(1, w * factor(w, m, 1000)) == 1).all()
 
 
+def test_a_tiny_source_beside_a_hot_one_keeps_the_stated_share(spark):
+    big = [(i, "word " * 50, "hot" if i % 10 else "other", "en") for i in range(1500)]
+    df = spark.createDataFrame([*big, (5000, "rare " * 5, "tiny", "en")], "doc_id long, text string, source string, lang string")
+    for max_cells in (50_000, 0):
+        got = mix(df, max_cells=max_cells).toPandas()
+        kept = (got.probability * got.tokens).sum() / got.tokens.sum()
+        assert abs(kept - mixing.LEAST_SHARE) < 1e-6
+        assert got.probability.max() <= 1 and got[got.source == "tiny"].selected.all()
+    assert abs(survivors(df).count() / 1501 - 0.3) < 0.05
+    w, m = np.array([2.0, 1.0]), np.array([10.0, 20.0])
+    assert factor(w, m, None, 20.0) == 0.5 and factor(w, m, None, 20.5) > 0.5
+
+
 def test_partial_targets():
     cells = pd.DataFrame({"a": ["x", "x", "y", "z"], "b": ["p", "q", "p", "q"], "tokens": [10, 20, 30, 40]})
     w = rake(cells, {"a": {"x": 0.5, "missing": 0.3}, "b": None})
