@@ -13,8 +13,11 @@ draw is the same in every run, on any partitioning.
 
 Rows are aggregated to cells on the map side.  Up to ``max_cells`` cells (counted
 first) are raked on the driver and broadcast back; more are raked by DataFrame
-rounds, of which only sums reach the driver, and joined by a shuffle.  Only numbers per cell differ in the two ways, by
-rounding.
+rounds, of which only sums reach the driver (and the shares of a marginal whose
+target is a function other than ``flatten``), and joined by a shuffle.  Both ways
+rake alike, until no share is off by ``TOLERANCE`` or for ``ROUNDS`` rounds; the
+numbers differ by rounding.  Targets not met by then (sparse cells may allow no
+weights that meet them) are reported by a warning.
 
 Defined cases: null and empty texts have no tokens and take their cell's
 probability, as has a null id (all null ids share one draw).  A null source,
@@ -28,6 +31,7 @@ Rows repeated with one id are drawn together.  Empty tables give empty results;
 from __future__ import annotations
 
 import functools
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -39,6 +43,8 @@ from .common import free_prefix, materialize, table
 DIMS = ("source", "lang", "topic")
 #: Share of the tokens that mixing keeps at least, however rare the rarest cell is.
 LEAST_SHARE = 0.3
+#: Raking ends when no share of a round is off its target by this part of it, or after so many rounds.
+TOLERANCE, ROUNDS = 1e-10, 200
 
 
 def tokens(text: str = "text") -> Column:
@@ -83,7 +89,7 @@ def _targets(shares: pd.Series, target) -> pd.Series:
     return out / out.sum() if out.sum() else out
 
 
-def rake(cells: pd.DataFrame, targets: dict, rounds: int = 200, tolerance: float = 1e-10) -> np.ndarray:
+def rake(cells: pd.DataFrame, targets: dict, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
     """Weights of the cells (dims and ``tokens``)."""
     w = np.ones(len(cells))
     mass = cells["tokens"].to_numpy(dtype=float)
@@ -95,6 +101,7 @@ def rake(cells: pd.DataFrame, targets: dict, rounds: int = 200, tolerance: float
         share = pd.Series(np.bincount(code, weights=mass, minlength=len(values)) / mass.sum(), index=values)
         goal = _targets(share, target)
         codes[d] = (code, np.array([goal.get(v, 0.0) for v in values]) * mass.sum())
+    worst = 0.0
     for _ in range(rounds):
         worst = 0.0
         for code, goal in codes.values():
@@ -104,9 +111,15 @@ def rake(cells: pd.DataFrame, targets: dict, rounds: int = 200, tolerance: float
             w = w * ratio[code]
         if worst < tolerance:
             break
+    _report(worst, tolerance, rounds)
     return w
 
 
+def _report(worst: float, tolerance: float, rounds: int) -> None:
+    if worst >= tolerance:
+        warnings.warn(f"raking ended after {rounds} rounds; in the last one a share was off its target by {worst:.2g} of it", stacklevel=3)
+
+
 def factor(weights: np.ndarray, mass: np.ndarray, budget: float | None, least: float = 0.0) -> float:
     """What makes probabilities of weights: the largest that needs no cut, if it keeps ``least``; else the one whose cut probabilities meet the budget, or ``least``."""
     use = (mass > 0) & (weights > 0)
@@ -133,8 +146,10 @@ def _goal_table(state: DataFrame, d: str, target, total: float) -> DataFrame:
     share = state.groupBy(d).agg((F.sum("tokens") / F.lit(max(total, 1.0))).alias("share")).where("share > 0")
     if isinstance(target, flatten):
         raw = share.select(F.col(d).alias("_v"), F.pow("share", F.lit(target.power)).alias("goal"))
-    elif callable(target):
-        raise ValueError("with this many cells a target must be a map or flatten(power)")
+    elif callable(target):  # takes the shares of all values of this marginal, so they go to the driver
+        seen = share.toPandas()
+        goal = _targets(pd.Series(seen["share"].to_numpy(), index=[("",) if v is None else v for v in seen[d]], dtype=float), target)
+        raw = share.sparkSession.createDataFrame([(None if v == ("",) else v, float(g)) for v, g in goal.items()], "_v string, goal double")
     else:
         listed = share.sparkSession.createDataFrame([(k, float(v)) for k, v in (target or {}).items()], "_k string, listed double")
         both = share.join(listed, share[d].eqNullSafe(listed["_k"]), "left")
@@ -145,17 +160,32 @@ def _goal_table(state: DataFrame, d: str, target, total: float) -> DataFrame:
     return materialize(raw.withColumn("goal", F.col("goal") * F.lit(total / whole)), "goals")
 
 
-def _rake_wide(cells: DataFrame, dims: list[str], targets: dict, budget: float | None, rounds: int = 25, least: float = 0.0) -> DataFrame:
-    """``rake`` and ``factor`` for more cells than a driver holds."""
-    state = materialize(cells.withColumn("w", F.lit(1.0)), "rake")
-    total = float(state.agg(F.sum("tokens")).first()[0] or 0)
-    goals = {d: _goal_table(state, d, target, total) for d, target in targets.items()}
+def _rake_wide(cells: DataFrame, dims: list[str], targets: dict, budget: float | None, rounds: int = ROUNDS, least: float = 0.0, tolerance: float = TOLERANCE) -> DataFrame:
+    """``rake`` and ``factor`` for more cells than a driver holds; a round writes one factor per value of a marginal."""
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    goals = {d: _goal_table(cells, d, target, total) for d, target in targets.items()}
+    factors = {d: cells.select(F.col(d).alias("_v")).distinct().withColumn("_f", F.lit(1.0)) for d in targets}
+
+    def weighted() -> DataFrame:
+        out = cells.withColumn("w", F.lit(1.0))
+        for d, f in factors.items():
+            out = out.join(f, out[d].eqNullSafe(f["_v"])).withColumn("w", F.col("w") * F.col("_f")).drop("_v", "_f")
+        return out
+
+    worst = 0.0
     for _ in range(rounds):
+        worst = 0.0
         for d in targets:
-            now = state.groupBy(d).agg(F.sum(F.col("w") * F.col("tokens")).alias("now")).alias("n").join(goals[d].alias("g"), F.col(f"n.{d}").eqNullSafe(F.col("g._v")), "left")
-            ratio = now.select(F.col(f"n.{d}").alias("_v"), F.when(F.col("now") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("now")).otherwise(1.0).alias("ratio"))
-            state = state.join(ratio, state[d].eqNullSafe(ratio["_v"])).withColumn("w", F.col("w") * F.col("ratio")).drop("_v", "ratio")
-        state = materialize(state, "rake")
+            now = weighted().groupBy(d).agg(F.sum(F.col("w") * F.col("tokens")).alias("now")).alias("n").join(goals[d].alias("g"), F.col(f"n.{d}").eqNullSafe(F.col("g._v")), "left")
+            ratio = now.select(F.col(f"n.{d}").alias("_r"), F.when(F.col("now") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("now")).otherwise(1.0).alias("ratio"))
+            both = factors[d].join(ratio, factors[d]["_v"].eqNullSafe(ratio["_r"]))
+            step = materialize(both.select("_v", (F.col("_f") * F.col("ratio")).alias("_f"), "ratio"), "rake")
+            worst = max(worst, float(step.agg(F.max(F.abs(F.col("ratio") - 1))).first()[0] or 0))
+            factors[d] = step.select("_v", "_f")
+        if worst < tolerance:
+            break
+    _report(worst, tolerance, rounds)
+    state = materialize(weighted(), "rake")
     top = float(state.where("tokens > 0").agg(F.max("w")).first()[0] or 1.0)
     s = 1 / top if top else 1.0
     if budget is None and float(state.agg(F.sum(F.col("w") * F.col("tokens"))).first()[0] or 0) * s < least:

@@ -1,8 +1,10 @@
 import collections
+import inspect
 import re
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from quillspark.llm import mixing
 from quillspark.llm.mixing import factor, flatten, mix, op2_mixing, rake, survivors
@@ -107,3 +109,19 @@ def test_wide_way_agrees(spark):
         b = mix(df, targets, budget_share=budget, max_cells=0).toPandas().sort_values(["doc_id", "tokens"], ignore_index=True)
         assert np.allclose(a.weight, b.weight, rtol=1e-4) and np.allclose(a.probability, b.probability, rtol=1e-3)
     assert mixing.DIMS == ("source", "lang", "topic")
+
+
+def test_wide_way_agrees_on_sparse_cells(spark):
+    """A chain of sources that share few languages settles slowly; its targets can't all be met."""
+    cells = pd.DataFrame([(f"s{i // 2}", f"l{(i + 1) // 2}", 1 + i * i % 7) for i in range(14)], columns=["source", "lang", "tokens"])
+    targets = {"source": flatten(0.5), "lang": lambda shares: {v: 1 / len(shares) for v in shares.index}}
+    df = spark.createDataFrame(cells)
+    rounds = 5
+    with pytest.warns(UserWarning, match="off its target"):
+        want = rake(cells, targets, rounds)
+    with pytest.warns(UserWarning, match="off its target"):
+        got = mixing._rake_wide(df, ["source", "lang"], targets, None, rounds).toPandas()
+    both = cells.assign(want=want).merge(got, on=["source", "lang"])
+    assert len(both) == 14 and np.allclose(both.weight, both.want, rtol=1e-9)
+    defaults = [inspect.signature(f).parameters for f in (rake, mixing._rake_wide)]
+    assert all(defaults[0][x].default == defaults[1][x].default for x in ("rounds", "tolerance"))
