@@ -9,8 +9,10 @@ the sample, so tight clusters are searched narrowly and shapeless data widely.
 Searching.  Every vector is indexed.  A cell is cut into sub-cells of about
 ``block_rows`` vectors (a hot cell into many), sub-cells are hashed to groups, and
 a query is sent once to each group that holds a cell it probes.  A group's task
-scores all codes of a probed sub-cell from the query's table, takes the best
-``shortlist`` and reranks them with the original vectors in double precision.
+holds copies of a vector as one, with their ``k`` + 1 smallest ids.  It scores all
+codes of a probed sub-cell from the query's table, takes the best ``shortlist``
+distinct vectors (2 ``k`` at least, and all that tie with the last) and reranks
+them with the original vectors in double precision.
 Queries stream through a group in blocks; what a task holds is a group's vectors
 and one block.  Should a query end with fewer neighbours than asked though more
 vectors exist, it is searched again in all cells.
@@ -219,7 +221,7 @@ def _search(index_rows: DataFrame, query_rows: DataFrame, shared, k: int, probes
                     held.append(part)
                     continue
                 if ready is None:
-                    ready, held = _cells(index, held, kind), []
+                    ready, held = _cells(index, held, kind, k), []
                 for i, v, e in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(6).to_pylist()):
                     ask.append((i, v, e))
                     if len(ask) >= 256:
@@ -236,17 +238,44 @@ def _search(index_rows: DataFrame, query_rows: DataFrame, shared, k: int, probes
 _KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
 
 
-def _cells(index: Index, held: list[pa.RecordBatch], kind) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """cell -> (ids, vectors, codes) of what a group holds of it."""
+def _cells(index: Index, held: list[pa.RecordBatch], kind, k: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """cell -> (ids, where the ids of each vector start, distinct vectors, codes) of what a group holds of it; copies of a vector keep their ``k`` + 1 smallest ids."""
     if not held:
         return {}
     whole = pa.Table.from_batches(held)
     ids, cell = whole.column("id").to_numpy(), whole.column("cell").to_numpy()
-    x = np.frombuffer(b"".join(whole.column("vec").to_pylist()), kind).reshape(-1, index.dim)
+    raw = whole.column("vec").to_pylist()
+    x = np.frombuffer(b"".join(raw), kind).reshape(-1, index.dim)
     codes = np.frombuffer(b"".join(whole.column("extra").to_pylist()), np.uint8).reshape(-1, index.parts)
-    order = np.argsort(cell, kind="stable")
+    order = np.lexsort((ids, cell))
     cuts = np.flatnonzero(np.concatenate(([True], cell[order][1:] != cell[order][:-1]))).tolist() + [len(order)]
-    return {int(cell[order[a]]): (ids[order[a:b]], x[order[a:b]], codes[order[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])}
+    out = {}
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        seen: dict[bytes, int] = {}
+        rows = order[a:b]
+        copy = np.array([seen.setdefault(raw[r], len(seen)) for r in rows.tolist()])
+        by = np.argsort(copy, kind="stable")
+        rows, copy = rows[by], copy[by]
+        new = np.concatenate(([True], (copy[1:] != copy[:-1]) | (ids[rows][1:] != ids[rows][:-1])))
+        rows, copy = rows[new], copy[new]
+        keep = np.arange(len(copy)) - np.searchsorted(copy, copy) <= k
+        rows, copy = rows[keep], copy[keep]
+        starts = np.searchsorted(copy, np.arange(len(seen) + 1))
+        first = rows[starts[:-1]]
+        out[int(cell[rows[0]])] = (ids[rows], starts, x[first], codes[first])
+    return out
+
+
+def _top(who: np.ndarray, vec: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best ids of each query, an id once with its best score, equal scores by the smaller id."""
+    order = np.lexsort((-s, vec, who))
+    who, vec, s = who[order], vec[order], s[order]
+    once = np.concatenate(([True], (who[1:] != who[:-1]) | (vec[1:] != vec[:-1]))) if len(who) else np.zeros(0, bool)
+    who, vec, s = who[once], vec[once], s[once]
+    order = np.lexsort((vec, -s, who))
+    who, vec, s = who[order], vec[order], s[order]
+    best = np.arange(len(who)) - np.searchsorted(who, who) < k
+    return who[best], vec[best], s[best]
 
 
 def _answers(index: Index, cells: dict, ask: list, k: int, shortlist: int, kind):
@@ -261,35 +290,38 @@ def _answers(index: Index, cells: dict, ask: list, k: int, shortlist: int, kind)
     for j, (_, _, e) in enumerate(ask):
         for c in np.frombuffer(e, np.int32).tolist():
             wanted.setdefault(c, []).append(j)
-    got_q, got_v, got_s = [], [], []
+    got, held = [], 0
     for c, who in wanted.items():
         if c not in cells:
             continue
-        ids, x, codes = cells[c]
+        ids, starts, x, codes = cells[c]
         who = np.array(who)
-        for lo in range(0, len(ids), 4096):
+        for lo in range(0, len(x), 4096):
             part = slice(lo, lo + 4096)
-            near = np.repeat(base[who, c][:, None], len(ids[part]), axis=1)
+            near = np.repeat(base[who, c][:, None], len(x[part]), axis=1)
             for m in range(index.parts):
                 near += np.take(lut[m][who], codes[part, m], axis=1)
-            near[ids[part][None, :] == names[who][:, None]] = -np.inf
-            take = min(shortlist, near.shape[1])
-            pick = np.argpartition(-near, take - 1, axis=1)[:, :take] if take < near.shape[1] else np.tile(np.arange(take), (len(who), 1))
-            exact = np.einsum("qrd,qd->qr", x[part][pick].astype(np.float64), q[who])
-            exact[ids[part][pick] == names[who][:, None]] = -np.inf
-            got_q.append(np.repeat(who, take))
-            got_v.append(ids[part][pick].ravel())
-            got_s.append(exact.ravel())
-    if not got_q:
+            mine = ids[starts[lo] : starts[min(lo + 4096, len(x))]]
+            # one more for the query itself, one for each time an id comes again
+            take = max(shortlist, 2 * k) + 1 + len(mine) - len(np.unique(mine))
+            last = np.partition(near, -take, axis=1)[:, -take] if take < near.shape[1] else np.full(len(who), -np.inf, np.float32)
+            row, pick = np.nonzero(~(near < last[:, None]))  # with all that tie with the last
+            for at in range(0, len(row), 65_536):
+                r, p = who[row[at : at + 65_536]], pick[at : at + 65_536] + lo
+                exact = np.einsum("rd,rd->r", x[p].astype(np.float64), q[r])
+                n = starts[p + 1] - starts[p]
+                each = np.repeat(np.arange(len(p)), n)
+                vec = ids[np.arange(len(each)) + np.repeat(starts[p] - (np.cumsum(n) - n), n)]
+                real = np.isfinite(exact[each]) & (vec != names[r[each]])
+                got.append((r[each][real], vec[real], exact[each][real]))
+                held += len(each)
+                if held > 1 << 21:
+                    got = [_top(*map(np.concatenate, zip(*got)), k)]
+                    held = 0
+    if not got:
         return
-    who, vec, s = np.concatenate(got_q), np.concatenate(got_v), np.concatenate(got_s)
-    real = np.isfinite(s)
-    who, vec, s = who[real], vec[real], s[real]
-    order = np.lexsort((vec, -s, who))
-    who, vec, s = who[order], vec[order], s[order]
-    first = np.searchsorted(who, who)
-    best = np.arange(len(who)) - first < 2 * k  # twice: ids may repeat
-    yield pa.RecordBatch.from_arrays([pa.array(names[who[best]]), pa.array(vec[best]), pa.array(s[best])], ["query_id", "vec_id", "score"])
+    who, vec, s = _top(*map(np.concatenate, zip(*got)), k)
+    yield pa.RecordBatch.from_arrays([pa.array(names[who]), pa.array(vec), pa.array(s)], ["query_id", "vec_id", "score"])
 
 
 def search(

@@ -67,3 +67,31 @@ def test_rows_that_take_no_part(spark):
     assert search(df.limit(0), df.limit(0)).count() == 0
     assert search(df.where("vec_id = 0"), df.where("vec_id = 0")).count() == 0
     assert search(df.where("vec_id = 100"), df).columns == ["query_id", "rank", "vec_id", "score"]
+
+
+def test_copies_go_by_the_smaller_id_and_take_one_place(spark):
+    rng = np.random.default_rng(9)
+    hot = np.array([4.0, 1.0, 1.0, 1.0] * 4)
+    rows = [(int(i), hot.tolist()) for i in rng.permutation(3000) + 1000]
+    rows += [(i, rng.normal(size=16).astype(np.float32).tolist()) for i in range(200)]
+    rows += [(7000 + i, (hot * 1.001 + rng.normal(size=16) * 1e-4).astype(np.float32).tolist()) for i in range(15)]
+    df = spark.createDataFrame([(i, v, "", 0) for i, v in rows], SCHEMA)
+    asked = [1000, 2000, 3980, 7000]
+    got = collect(search(df, df.where(df.vec_id.isin(asked))))
+    want = exact(rows)
+    for i in asked:
+        assert [v for v, _ in got[i]] == [v for v, _ in want[i]]
+
+
+def test_one_id_with_many_vectors_takes_one_place(spark):
+    rng = np.random.default_rng(3)
+    rows = [(50_001, [9.0 + j / 1000, 1.0, 1.0, 1.0]) for j in range(300)] + [(i, (rng.normal(size=4) + 1).tolist()) for i in range(400)]
+    df = spark.createDataFrame([(i, v, "", 0) for i, v in rows], SCHEMA)
+    got = collect(search(df, df.where("vec_id = 20"), cells=1))[20]
+    want = {}
+    q = np.array(dict(rows)[20], np.float32).astype(float)
+    for i, v in rows:
+        if i != 20:
+            want[i] = max(want.get(i, -np.inf), float(np.array(v, np.float32).astype(float) @ q))
+    best = sorted(want, key=lambda i: (-want[i], i))[:20]
+    assert [v for v, _ in got] == best
