@@ -4,8 +4,9 @@ A page is a sequence in which words score positive and tags negative; one linear
 scan finds the contiguous run with the greatest sum.  Scores come from labelled
 pages.  The pages also show which elements (by tag name, class, id or role) hold
 no article text; such an element enters the sequence as one tag, and its words
-are not part of it, wherever it stands.  So does text beside the article or main
-element of a page that has one of weight.  The text is the words of the best run.
+are not part of it, wherever it stands.  Where a single article or main element has
+at least half of the words, so does the text beside it, but for h1 and p elements
+before it.  Otherwise all text competes.  The text is the words of the best run.
 
 Within the run, character references are decoded, white space inside a block
 becomes one space, blocks are trimmed and joined by one space in page order.
@@ -125,18 +126,19 @@ class _Stack:
 
 
 def sequence(page: str, boxes: frozenset):
-    """(tag or '', text or '', inside a link, inside an article or main element) for each token; boxes are one tag each."""
-    stack, box = _Stack(), None
+    """(tag or '', text or '', inside a link, number of the outermost article or main element around it or 0) for each token; boxes are one tag each."""
+    stack, box, frame = _Stack(), None, 0
     for kind, name, extra, at in scan(page):
         if kind == "text":
             if box is None:
-                yield "", extra, bool(stack.open["a"]), bool(stack.open["article"] or stack.open["main"])
+                yield "", extra, bool(stack.open["a"]), frame if stack.open["article"] or stack.open["main"] else 0
             continue
         if kind == "open":
             if box is not None and name in ("article", "main") and page.find("</" + stack.names[box], at) < 0:
                 while len(stack.names) > box:
                     stack.pop(stack.names[-1])
                 box = None
+            frame += name in ("article", "main") and not (stack.open["article"] or stack.open["main"])
             depth = len(stack.names)
             if name not in _VOID:
                 stack.push(name)
@@ -144,26 +146,41 @@ def sequence(page: str, boxes: frozenset):
             if box is None:
                 if name in _RAW or name == "head" or any(f in boxes for f in features(name, extra)):
                     inside = "in" if stack.open["article"] or stack.open["main"] else "out"
-                    yield "box-" + inside, "", False, False
+                    yield "box-" + inside, "", False, 0
                     if name not in _VOID:
                         box = depth
                 else:
-                    yield name, "", False, False
+                    yield name, "", False, 0
         else:
             stack.pop(name)
             if box is not None and len(stack.names) <= box:
                 box = None
             elif box is None:
-                yield "/" + name, "", False, False
+                yield "/" + name, "", False, 0
 
 
 def _framed(tokens: list) -> bool:
-    """Whether an article or main element holds a fifth of the words at least."""
-    inside = outside = 0
-    for _, text, _, within in tokens:
-        n = len(text.split())
-        inside, outside = inside + n * within, outside + n * (not within)
-    return inside > 0 and 4 * inside >= outside
+    """Whether all words in article or main elements are in one and at least as many as those outside."""
+    words: Counter = Counter()
+    for _, text, _, frame in tokens:
+        words[frame] += len(text.split())
+    outside = words.pop(0, 0)
+    words = +words
+    return len(words) == 1 and sum(words.values()) >= outside
+
+
+def _without_beside(tokens: list) -> list:
+    """Text beside the frame becomes a tag, but for headings and paragraphs before it (a title, a lead): these compete."""
+    first = next(i for i, t in enumerate(tokens) if t[3] and t[1].strip())
+    out, block = [], ""
+    for i, t in enumerate(tokens):
+        if t[0]:
+            if t[0].lstrip("/") not in _INLINE:
+                block = t[0]
+        elif not t[3] and t[1].strip() and not (i < first and block in ("h1", "p") and not t[2]):
+            t = ("box-out", "", False, 0)
+        out.append(t)
+    return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -237,7 +254,7 @@ def extract_text(page: str | None, scores: Scores | None = None) -> str:
     scores = scores or default_scores()
     tokens = list(sequence(page, scores.boxes))
     if scores.framed and _framed(tokens):
-        tokens = [t if t[0] or t[3] or not t[1].strip() else ("box-out", "", False, False) for t in tokens]
+        tokens = _without_beside(tokens)
     best, best_span, total, begin = 0.0, (0, 0), 0.0, 0
     for i, (tag, text, link, _) in enumerate(tokens):
         if tag:

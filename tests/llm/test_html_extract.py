@@ -36,6 +36,15 @@ def test_pages(page, text):
     assert extract_text(page) == text
 
 
+def test_text_beside_an_article_element_is_not_lost():
+    body, teaser = " ".join(f"word{i}" for i in range(400)), " ".join(f"tease{i}" for i in range(50))
+    for n in (1, 2, 8):
+        cards = f'<article class="card"><h2>more</h2><p>{teaser}</p></article>' * n
+        got = extract_text(f'<body><div class="post-content"><p>{body}</p></div><div class="grid">{cards}</div></body>')
+        assert set(body.split()) <= set(got.split()), n
+    assert extract_text(f"<div><h1>Title</h1><p>The lead.</p><article><p>{BODY}</p></article></div>") == f"Title The lead. {BODY}"
+
+
 def test_long_and_deep_pages():
     long = "<article>" + "<p>word &amp; word</p>" * 30_000 + "</article>"
     assert extract_text(long).count("word & word") == 30_000
