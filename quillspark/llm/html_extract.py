@@ -15,8 +15,9 @@ One pass, no shuffle; a task holds a batch of pages.  Scores are a few hundred
 numbers, sent with the task.
 
 Defined cases: a null or empty page, or one without words, gives the empty text.
-A page without tags is its own text.  Unclosed elements end with what encloses
-them, at the latest with the page; an unclosed box also ends where an article or
+A page without tags is its own text.  Elements whose end tag may be left out (p,
+li, dd, dt, table parts, option, head) end where HTML says.  Other unclosed elements
+end with what encloses them, at the latest with the page; an unclosed box also ends where an article or
 main element begins.  Of runs with equal sums the first, then the longest, wins.
 Repeated rows are extracted alike.  Other columns are returned unchanged, and
 one with the name of an output column is replaced.
@@ -103,26 +104,63 @@ def scan(page: str):
             at = end.start() if end else n
 
 
+#: Elements whose end tag may be left out: (members, start tags that end the innermost member, elements beyond which none is looked for)
+_CELLS = "table td th caption button object template"
+_BLOCKS = "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li dd dt main menu nav ol p pre search section summary table ul"
+_IMPLIED = [
+    ("p", _BLOCKS, _CELLS),
+    ("li", "li", f"{_CELLS} ul ol menu dir dl section article main aside nav header footer form fieldset figure details blockquote"),
+    ("dd dt", "dd dt", f"{_CELLS} ul ol menu dir dl section article main aside nav header footer form fieldset figure details blockquote"),
+    ("td th", "td th tr thead tbody tfoot", "table template"),
+    ("tr", "tr thead tbody tfoot", "table template"),
+    ("thead tbody tfoot caption colgroup", "thead tbody tfoot", "table template"),
+    ("option", "option optgroup", "select datalist template"),
+    ("optgroup", "optgroup", "select template"),
+    ("head", "body", "html"),
+]
+_ENDS: dict[str, list[int]] = {}
+_MARKS: dict[str, list[tuple[int, bool]]] = {}
+for _i, (_members, _starts, _bounds) in enumerate(_IMPLIED):
+    for _n in _starts.split():
+        _ENDS.setdefault(_n, []).append(_i)
+    for _n in {*_members.split(), *_bounds.split()}:
+        _MARKS.setdefault(_n, []).append((_i, _n in _members.split()))
+
+
 class _Stack:
     """Open elements; closing one closes what it holds."""
 
     def __init__(self):
         self.names: list[str] = []
         self.open: Counter = Counter()
+        self.marks: list[list[tuple[int, bool]]] = [[] for _ in _IMPLIED]  # by rule, open members and bounds: (position, whether a member)
+
+    def end_implied(self, name: str) -> None:
+        """Close what a start tag ends without an end tag."""
+        for i in _ENDS.get(name, ()):
+            if self.marks[i] and self.marks[i][-1][1]:
+                at = self.marks[i][-1][0]
+                while len(self.names) > at:
+                    self._drop()
 
     def push(self, name: str) -> None:
-        if name == "p" and self.open["p"] and self.names[-1] == "p":
-            self.pop("p")
+        self.end_implied(name)
+        for i, member in _MARKS.get(name, ()):
+            self.marks[i].append((len(self.names), member))
         self.names.append(name)
         self.open[name] += 1
 
+    def _drop(self) -> str:
+        last = self.names.pop()
+        self.open[last] -= 1
+        for i, _ in _MARKS.get(last, ()):
+            self.marks[i].pop()
+        return last
+
     def pop(self, name: str) -> None:
         if self.open[name]:
-            while True:
-                last = self.names.pop()
-                self.open[last] -= 1
-                if last == name:
-                    return
+            while self._drop() != name:
+                pass
 
 
 def sequence(page: str, boxes: frozenset):
@@ -138,11 +176,13 @@ def sequence(page: str, boxes: frozenset):
                 while len(stack.names) > box:
                     stack.pop(stack.names[-1])
                 box = None
+            stack.end_implied(name)
+            if box is not None and len(stack.names) <= box:
+                box = None
             frame += name in ("article", "main") and not (stack.open["article"] or stack.open["main"])
             depth = len(stack.names)
             if name not in _VOID:
                 stack.push(name)
-                depth = min(depth, len(stack.names) - 1)
             if box is None:
                 if name in _RAW or name == "head" or any(f in boxes for f in features(name, extra)):
                     inside = "in" if stack.open["article"] or stack.open["main"] else "out"

@@ -45,6 +45,23 @@ def test_text_beside_an_article_element_is_not_lost():
     assert extract_text(f"<div><h1>Title</h1><p>The lead.</p><article><p>{BODY}</p></article></div>") == f"Title The lead. {BODY}"
 
 
+@pytest.mark.parametrize(
+    "inner, text",
+    [
+        ("<div><p>One<p class='ad'>Buy<p>Two<p>Three</div>", "One Two Three"),
+        ("<p>One</p><p class='ad'>Buy<p>Two</p><p>Three</p>", "One Two Three"),
+        (f"<p class='notice'>Note <b>this<h2>One</h2><div>{BODY}</div><p>{BODY}", f"One {BODY} {BODY}"),
+        ("<p class='promo'>Buy<hr>One<p>Two", "One Two"),
+        ("<ul><li>One<li class='share'>Send<ul><li>this</ul><li>Two</ul><p>Three", "One Two Three"),
+        ("<dl><dt>One<dd class='ad'>Buy<dt>Two<dd>Three</dl>", "One Two Three"),
+        ("<table><tr><td>One<td class='ad'>Buy<td>Two<tr class='promo'><td>Buy<tr><td>Three</table>", "One Two Three"),
+        ("<p>One</p><div class='ad'><p>Buy<p>now<ul><li>x<li>y</ul></div><p>Two", "One Two"),
+    ],
+)
+def test_boxes_without_end_tags(inner, text):
+    assert extract_text(f"<article><p>{BODY}</p>{inner}</article>") == f"{BODY} {text}"
+
+
 def test_long_and_deep_pages():
     long = "<article>" + "<p>word &amp; word</p>" * 30_000 + "</article>"
     assert extract_text(long).count("word & word") == 30_000
