@@ -28,7 +28,9 @@ class Sieve:
 
     def __init__(self, ids: DataFrame, column: str, least: int = 16, most: int = 28):
         rows = ids.where(F.col(column).isNotNull()).select(F.col(column).cast("long").alias("id"))
-        bits = 1 << min(most, max(least, (16 * rows.count()).bit_length()))
+        n = rows.count()
+        self.empty = not n
+        bits = 1 << min(most, max(least, (16 * n).bit_length()))
 
         def mark(batches):
             for batch in batches:

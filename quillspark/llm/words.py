@@ -1,13 +1,14 @@
 """Vectorised word hashing over Arrow text columns.
 
 Words are maximal runs of bytes other than space and \\x09-\\x0D, with A-Z
-lowered.  A word's 64-bit hash is a polynomial over random byte weights, read
-from one running sum, so a chunk of texts costs a few numpy passes and no Python
-work per word.
+lowered.  A word's 64-bit hash takes in eight bytes at a time, each block through a
+non-linear mixer, so a chunk of texts costs a few numpy passes and no Python work
+per word.  A word of more than ``LONG`` bytes is hashed by BLAKE2b on its own.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,22 +20,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_WEIGHT = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, CHUNK), base, dtype=np.uint64)
-        have[0] = 1
-        np.cumprod(have, out=have)
-        if len(have) <= 4 * CHUNK:
-            _powers[base] = have
-    return have[:n]
+LONG = 512  # bytes of a word that are hashed in blocks
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -86,12 +73,27 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def hash_spans(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(low) + 1, dtype=np.uint64)
-    terms = _WEIGHT[low]
-    terms *= _power(_BASE, len(low))
-    np.cumsum(terms, out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _power(_INVERSE, len(low) + 1)[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """One 64-bit hash per span of bytes; equal bytes have equal hashes, wherever they stand."""
+    padded = np.concatenate((low, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(low) + 1,), dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    length = ends - starts
+    h = length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    at, left, which = starts, length, None
+    for _ in range(LONG // 8):
+        h_now = h if which is None else h[which]
+        h_now = mix((h_now ^ (eight[at] & _MASK[np.minimum(left, 8)])) + np.uint64(0x9E3779B97F4A7C15))
+        if which is None:
+            h = h_now
+        else:
+            h[which] = h_now
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            break
+        at, left = at[more] + 8, left[more] - 8
+        which = more if which is None else which[more]
+    for i in np.flatnonzero(length > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(low[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
