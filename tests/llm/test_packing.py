@@ -23,6 +23,20 @@ def test_ids_of_odd_texts(text):
     assert encoder(default_tokenizer())(text) == REAL.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("c", [" ", "\n", "\u2003", "\r\n", "a", "!", "é", "1"])
+def test_ids_of_two_million_alike(c):
+    text = "x" + c * (2_000_000 // len(c)) + "y"
+    assert encoder(default_tokenizer())(text) == REAL.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_of_all_code_points():
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    encode = encoder(default_tokenizer())
+    for a in range(0, len(points), 4096):
+        text = "".join(f"a{c}b{c}{c}1{c} {c}' " for c in map(chr, points[a : a + 4096]))
+        assert encode(text) == REAL.encode(text, add_special_tokens=False).ids
+
+
 def check(rows, docs):
     """Every id in one piece, sequences gapless and short of nothing."""
     by_doc, by_seq = {}, {}
@@ -51,17 +65,31 @@ def check(rows, docs):
 def test_packer_keeps_every_token():
     rng = random.Random(4)
     for case in range(20):
-        packer, docs = Packer(TIERS, 4096, 32, case << 36), {}
+        packer, docs = Packer(TIERS, 32, case), {}
         for d in range(rng.choice([0, 1, 3, 200])):
             docs[d] = [rng.randrange(50000) for _ in range(rng.choice([1, 2, 127, 128, 129, 700, 1023, 1024, 1025, 5000, rng.randrange(1, 3000)]))]
             packer.add(d, np.array(docs[d], dtype="<u4"))
         packer.pack(0)
         assert check(packer.rows, docs) <= 1024
-        groups = {}
-        for tier, seq, group in {(r[7], r[5], r[8]) for r in packer.rows}:
-            groups.setdefault((tier, group), []).append(seq)
-        for (tier, _), seqs in groups.items():
-            assert len(seqs) <= 4096 // tier
+        made = {}
+        for tier, number in {(r[7], r[9]) for r in packer.rows}:
+            made.setdefault(tier, []).append(number)
+        for numbers in made.values():
+            assert sorted(numbers) == list(range(len(numbers)))
+
+
+def test_step_groups_are_full_over_all_tasks(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{rng.randrange(900)}" for _ in range(rng.choice([3, 40, 150, 700])))) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = pack(df, default_tokenizer(), step_tokens=4096).collect()
+    groups, tier_of = {}, {}
+    for r in got:
+        groups.setdefault(r["step_group"], set()).add(r["sequence_id"])
+        assert tier_of.setdefault(r["step_group"], r["tier"]) == r["tier"]
+    short = [tier_of[g] for g, seqs in groups.items() if len(seqs) != 4096 // tier_of[g]]
+    assert len(groups) > 20 and len(short) == len(set(short))  # the last group of a tier at most
+    assert all(len(seqs) <= 4096 // tier_of[g] for g, seqs in groups.items())
 
 
 def test_query_shape(spark):
@@ -71,3 +99,12 @@ def test_query_shape(spark):
     docs = {i: REAL.encode(t or "", add_special_tokens=False).ids + [0] for i, t, _ in rows}
     assert check(got, docs) <= 3 * 1024
     assert pack(df.limit(0), default_tokenizer()).count() == 0
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    rows = [(1, "same text here", 5, "k")] * 4 + [(None, "no id", None, None)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, task int, step_group string").repartition(2)
+    got = pack(df, default_tokenizer()).collect()
+    ids = REAL.encode("same text here", add_special_tokens=False).ids + [0]
+    assert sum(r["length"] for r in got if r["doc_id"] == 1) == 4 * len(ids)
+    assert sum(r["length"] for r in got if r["doc_id"] is None) == 2 * (len(REAL.encode("no id", add_special_tokens=False).ids) + 1)
