@@ -122,14 +122,14 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = session()
     if a.command == "index":
-        try:
-            store = DocumentStore.open(spark, a.store)
-        except Exception:
-            store = DocumentStore(spark, spans=not a.no_spans, location=a.store)
+        store = DocumentStore.open(spark, a.store) if DocumentStore.exists(spark, a.store) else DocumentStore(spark, spans=not a.no_spans, location=a.store)
         report = store.reindex_paths(a.paths, not a.no_recursive, a.prune)
         store.save(a.store)
+        failed = report.pop("failed_paths")
         print(", ".join(f"{k} {v}" for k, v in report.items()))
-        return 0
+        for p in failed:
+            print(f"failed: {p}", file=sys.stderr)
+        return int(bool(failed))
     store = DocumentStore.open(spark, a.store)
     if a.command == "list":
         print(render(store.documents().orderBy("id"), a.format), end="")
@@ -146,6 +146,8 @@ def main(argv: list[str] | None = None) -> int:
             store.save(a.store)
     elif a.command == "repl":
         repl(store, a.format, a.write_back)
+        if a.write_back:
+            store.save(a.store)
     elif a.command == "lint":
         bad = nav.lint_heading_followed_by(store.blocks(), a.depth)
         print(render(bad.orderBy("document_id", "heading_pre"), a.format), end="")

@@ -48,8 +48,6 @@ DEFINITIONS: dict[str, tuple[str, str, str]] = {
     "q_trunc2": ("x DOUBLE, s INT", "DOUBLE", "CASE WHEN abs(x) * pow(10, s) < 1e15 THEN sign(x) * floor(abs(x) * pow(10, s)) / pow(10, s) ELSE x END"),
     "q_round": ("x DOUBLE", "BIGINT", "CAST(round(x) AS BIGINT)"),
     "q_round2": ("x DOUBLE, s INT", "DOUBLE", "CASE WHEN abs(x) * pow(10, s) < 1e15 THEN sign(x) * floor(abs(x) * pow(10, s) + 0.5) / pow(10, s) ELSE x END"),
-    "q_mod": ("a BIGINT, b BIGINT", "BIGINT", "try_mod(a, b)"),
-    "q_div": ("a BIGINT, b BIGINT", "BIGINT", "CASE WHEN b <> 0 THEN a div b END"),
     "q_log": ("x DOUBLE", "DOUBLE", "log10(x)"),
     "q_log2args": ("x DOUBLE, base DOUBLE", "DOUBLE", "log(base, x)"),
     "q_ln": ("x DOUBLE", "DOUBLE", "CASE WHEN x < 0 THEN double('NaN') WHEN x = 0 THEN double('-Infinity') ELSE ln(x) END"),
@@ -77,7 +75,7 @@ RENAMED: dict[str, dict[int, str]] = {
     "trunc": {1: "q_trunc", 2: "q_trunc2"},
     "truncate": {1: "q_trunc", 2: "q_trunc2"},
     "round": {1: "q_round", 2: "q_round2"},
-    "mod": {2: "q_mod"},
+    "mod": {2: "try_mod"},
     "log": {1: "q_log", 2: "q_log2args"},
     "ln": {1: "q_ln"},
     "now": {0: "q_now"},

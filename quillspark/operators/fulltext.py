@@ -21,10 +21,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _words(query: str) -> list[str]:
+    return re.findall(r"\w+", query.lower().replace("_", " "))
+
+
 def _query(query: Column | str) -> Column:
     """Tokens of a query; of a literal they are taken here, once."""
     if isinstance(query, str):
-        words = [w for w in re.findall(r"\w+", query.lower().replace("_", " "))]
+        words = _words(query)
         return F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
     return tokenize(query)
 
@@ -32,7 +36,15 @@ def _query(query: Column | str) -> Column:
 def match(content: Column | str, query: Column | str) -> Column:
     """Whether every query token is among the content's; an empty query matches nothing."""
     q = _query(query)
-    return (F.size(q) > 0) & (F.size(F.array_except(q, tokenize(content))) == 0)
+    exact = (F.size(q) > 0) & (F.size(F.array_except(q, tokenize(content))) == 0)
+    if not isinstance(query, str):
+        return exact
+    # what lacks a token even as a substring is not split into tokens
+    low = F.lower(F.col(content) if isinstance(content, str) else content)
+    may = F.lit(True)
+    for w in sorted(set(_words(query)), key=len, reverse=True):
+        may = may & low.contains(w)
+    return may & exact
 
 
 def score(content: Column | str, query: Column | str) -> Column:

@@ -37,6 +37,11 @@ def number_intervals(nodes: DataFrame, doc: str = "document_id", ord_: str = "or
         *[F.min(F.when(d == k, o)).over(after).alias(f"_next{k}") for k in LEVELS],
         F.max(o).over(up_to).alias("_n"),
     )
+    return _closed_form(staged, nodes.columns, d, o)
+
+
+def _closed_form(staged: DataFrame, columns: list[str], d: Column, o: Column) -> DataFrame:
+    """Numbers from the last and next heading of each level (``_last``, ``_next``) and the number of nodes (``_n``)."""
     opened = []
     for k in LEVELS:
         shallower = _greatest([F.lit(0), *[F.col(f"_last{j}") for j in range(1, k)]])
@@ -46,7 +51,7 @@ def number_intervals(nodes: DataFrame, doc: str = "document_id", ord_: str = "or
     pre = 2 * o - 1 - anc
     desc = F.when(d > 0, end - o - 1).otherwise(0)
     return staged.select(
-        *nodes.columns,
+        *columns,
         pre.cast("int").alias("pre"),
         (pre + 2 * desc + 1).cast("int").alias("post"),
         F.greatest(*opened).alias("parent_ord"),
@@ -55,10 +60,10 @@ def number_intervals(nodes: DataFrame, doc: str = "document_id", ord_: str = "or
 
 
 def with_block_ids(blocks: DataFrame) -> DataFrame:
-    """Store-wide running ``id`` from 0, in (document_id, ord) order.
+    """Store-wide running ``id`` from 0, in (document_id, ord) order; ``ord`` counts from 1 without gaps in each document.
 
     Block counts per document are summed up (one row per document), so no window
-    ever sees all blocks.
+    ever sees blocks.
     """
     counts = blocks.groupBy("document_id").agg(F.count(F.lit(1)).alias("_c"))
     # documents are range-partitioned into buckets; only bucket totals meet in one window
@@ -69,16 +74,69 @@ def with_block_ids(blocks: DataFrame) -> DataFrame:
     bases = totals.select("_b", F.coalesce(F.sum("_t").over(over_buckets), F.lit(0)).alias("_base"))
     starts = bucketed.select("_b", "document_id", F.coalesce(F.sum("_c").over(in_bucket), F.lit(0)).alias("_in")).join(bases, "_b")
     starts = starts.select("document_id", (F.col("_base") + F.col("_in")).alias("_start"))
-    place = Window.partitionBy("document_id").orderBy("ord")
-    return (
-        blocks.withColumn("_r", F.row_number().over(place))
-        .join(starts, "document_id")
-        .withColumn("id", (F.col("_start") + F.col("_r") - 1).cast("long"))
-        .drop("_start", "_r")
+    return blocks.join(starts, "document_id").withColumn("id", (F.col("_start") + F.col("ord") - 1).cast("long")).drop("_start")
+
+
+def number_chunked(nodes: DataFrame, chunk: int, doc: str = "document_id", ord_: str = "ord", depth: str = "depth") -> DataFrame:
+    """``number_intervals`` for documents of any size: its windows see ``chunk`` nodes each.
+
+    Of a chunk, the last and first heading of each level are carried to the chunks
+    after and before it, in windows over one row per chunk; so one huge document
+    spreads over the cluster.
+    """
+    at = F.expr(f"({ord_} - 1) div {chunk}")
+    d, o = F.col(depth), F.col(ord_)
+    ends = nodes.groupBy(doc, at.alias("_chunk")).agg(
+        *[F.max(F.when(d == k, o)).alias(f"_hi{k}") for k in LEVELS], *[F.min(F.when(d == k, o)).alias(f"_lo{k}") for k in LEVELS], F.max(o).alias("_hi")
+    )
+    earlier = Window.partitionBy(doc).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(doc).orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(
+        F.col(doc).alias("_doc"),
+        F.col("_chunk").alias("_at"),
+        *[F.max(f"_hi{k}").over(earlier).alias(f"_before{k}") for k in LEVELS],
+        *[F.min(f"_lo{k}").over(later).alias(f"_after{k}") for k in LEVELS],
+        F.max("_hi").over(Window.partitionBy(doc)).alias("_n"),
+    )
+    here = Window.partitionBy(doc, "_chunk")
+    before = here.orderBy(F.col(ord_).asc()).rowsBetween(Window.unboundedPreceding, -1)
+    after = here.orderBy(F.col(ord_).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = nodes.withColumn("_chunk", at).select(
+        "*", *[F.max(F.when(d == k, o)).over(before).alias(f"_last{k}") for k in LEVELS], *[F.min(F.when(d == k, o)).over(after).alias(f"_next{k}") for k in LEVELS]
+    )
+    joined = placed.join(carried, (F.col(doc) == F.col("_doc")) & (F.col("_chunk") == F.col("_at")))
+    staged = joined.withColumns(
+        {f"_last{k}": F.coalesce(f"_last{k}", f"_before{k}", F.lit(0)) for k in LEVELS} | {f"_next{k}": F.coalesce(f"_next{k}", f"_after{k}") for k in LEVELS}
     )
+    return _closed_form(staged, nodes.columns, d, o)
 
 
 def under(pre: str | Column, post: str | Column, anchor_pre: str | Column, anchor_post: str | Column) -> Column:
     """Whether (pre, post) lies inside the anchor's interval; the document must be compared besides."""
     c = lambda x: F.col(x) if isinstance(x, str) else x
     return (c(anchor_pre) < c(pre)) & (c(post) < c(anchor_post))
+
+
+def is_under(prefix: str, ancestor: str) -> Column:
+    """Whether the block whose columns start with ``prefix`` lies in the section of ``ancestor``, documents compared."""
+    return (F.col(f"{prefix}document_id") == F.col(f"{ancestor}document_id")) & under(f"{prefix}pre", f"{prefix}post", f"{ancestor}pre", f"{ancestor}post")
+
+
+def contains(prefix: str, descendant: str) -> Column:
+    """Whether ``descendant`` lies in the section of the block whose columns start with ``prefix``."""
+    return is_under(descendant, prefix)
+
+
+def is_under_interval(pre: int, post: int) -> Column:
+    """Whether a block lies in the interval, of whatever document."""
+    return under("pre", "post", F.lit(pre), F.lit(post))
+
+
+def heading_depth() -> Column:
+    """1 to 6 for headings, else null."""
+    return F.when(F.col("block_type") == "heading", F.col("depth"))
+
+
+def code_lang() -> Column:
+    """The language of a code block that has one, else null."""
+    return F.when((F.col("block_type") == "code") & (F.col("lang") != ""), F.col("lang"))

@@ -4,6 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_LIST = T.ArrayType(T.StringType())
+SCHEMA = T.StructType(
+    [
+        T.StructField("document_id", T.LongType()),
+        T.StructField("max_heading_depth", T.IntegerType()),
+        *[T.StructField(n, _LIST) for n in ("heading_slugs", "heading_contents", "code_languages", "frontmatter_keys")],
+        T.StructField("title", T.StringType()),
+        T.StructField("tags", _LIST),
+    ]
+)
 
 
 def slug(c: Column) -> Column:

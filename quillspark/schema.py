@@ -31,7 +31,7 @@ SPAN = T.StructType([T.StructField(n, T.IntegerType()) for n in ("start_line", "
 
 NODES = T.StructType(
     [
-        T.StructField("document_id", T.IntegerType(), False),
+        T.StructField("document_id", T.LongType(), False),
         T.StructField("ord", T.IntegerType(), False),
         T.StructField("block_type", T.StringType()),
         T.StructField("content", T.StringType()),
@@ -45,7 +45,7 @@ NODES = T.StructType(
 BLOCKS = T.StructType(
     [
         T.StructField("id", T.LongType()),
-        T.StructField("document_id", T.IntegerType()),
+        T.StructField("document_id", T.LongType()),
         T.StructField("block_type", T.StringType()),
         T.StructField("content", T.StringType()),
         T.StructField("pre", T.IntegerType()),
@@ -60,7 +60,7 @@ BLOCKS = T.StructType(
 
 DOCUMENTS = T.StructType(
     [
-        T.StructField("id", T.IntegerType()),
+        T.StructField("id", T.LongType()),
         T.StructField("path", T.StringType()),
         T.StructField("title", T.StringType()),
         T.StructField("tags", T.StringType()),

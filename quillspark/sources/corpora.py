@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.intervals import number_intervals
+from ..operators.intervals import number_chunked, number_intervals
 
 COLUMNS = ("document_id", "ord", "block_type", "content", "depth", "lang")
 
@@ -138,7 +138,8 @@ _NODES = {"conv": (conversation_nodes, CONV_NODES), "doc": (document_nodes, DOC_
 
 
 def blocks(spark: SparkSession, sf_dir: str, corpus: str) -> DataFrame:
-    return number_intervals(_NODES[corpus][0](spark, sf_dir))
+    nodes = _NODES[corpus][0](spark, sf_dir)
+    return number_chunked(nodes, 1 << 16) if corpus == "geo" else number_intervals(nodes)  # a region is one document, however many orders it has
 
 
 def blocks_sql(corpus: str) -> str:

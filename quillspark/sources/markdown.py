@@ -227,8 +227,11 @@ def nodes(texts: DataFrame, spans: bool = True) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if len(rows) > 10_000:
+                    yield made(rows)
+                    rows = []
                 lines = None
                 source = text.as_py() or ""
                 for k, x in enumerate(scan(source), 1):
@@ -236,10 +239,13 @@ def nodes(texts: DataFrame, spans: bool = True) -> DataFrame:
                     span = {"start_line": x["start"], "start_col": 1, "end_line": x["end"], "end_col": len(lines[x["end"] - 1].rstrip("\r")) + 1} if spans else None
                     rows.append((doc, k, x["block_type"], x["content"], x["depth"], x["lang"], json.dumps(x["properties"], sort_keys=True, ensure_ascii=False), span))
             if rows:
-                kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.struct([(f, pa.int32()) for f in ("start_line", "start_col", "end_line", "end_col")])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [f.name for f in NODES.fields])
+                yield made(rows)
 
-    return texts.select(F.col("id").cast("int").alias("id"), "text").mapInArrow(run, NODES)
+    def made(rows):
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.struct([(f, pa.int32()) for f in ("start_line", "start_col", "end_line", "end_col")])]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [f.name for f in NODES.fields])
+
+    return texts.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(run, NODES)
 
 
 def parse_blocks(texts: DataFrame, spans: bool = True) -> DataFrame:

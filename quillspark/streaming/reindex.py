@@ -1,8 +1,8 @@
 """Incremental indexing of arriving Markdown files.
 
 A file stream is parsed in micro-batches; each batch is compared with the store by
-content hash, so only added and changed files are parsed again.  The store is
-saved once a batch; a batch that is run again after a failure finds its files
+content hash, so only added and changed files are parsed and written, as one more
+part of the store.  A batch that is run again after a failure finds its files
 unchanged.
 """
 
@@ -32,10 +32,8 @@ def keep_indexed(spark: SparkSession, folder: str, store_path: str, checkpoint:
 
     def apply(batch: DataFrame, _epoch: int) -> None:
         session = batch.sparkSession
-        try:
-            store = DocumentStore.open(session, store_path)
-        except Exception:
-            store = DocumentStore(session, location=store_path)
+        # only a store that is not there is made; one that cannot be read is an error, never replaced
+        store = DocumentStore.open(session, store_path) if DocumentStore.exists(session, store_path) else DocumentStore(session, location=store_path)
         new = latest(batch.select("path", "text", "modified"))
         from ..operators.shared import written
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import fulltext as ft
 from quillspark.operators import navigation as nav
-from quillspark.operators.intervals import number_intervals, with_block_ids
+from quillspark.operators.intervals import number_chunked, number_intervals, with_block_ids
 from quillspark.plans.dialect import translate
 from quillspark.sources.markdown import front_matter, inline_text, scan
 
@@ -47,6 +47,12 @@ def test_closed_form_is_the_walk(spark):
         got.setdefault(r["document_id"], {})[r["ord"]] = (r["pre"], r["post"], r["parent_ord"])
     for d, depths in enumerate(docs):
         assert [got[d][i] for i in range(1, len(depths) + 1)] == stack_numbers(depths)
+    for chunk in (1, 3, 8, 1000):
+        cut = number_chunked(df, chunk)
+        assert cut.columns == number_intervals(df).columns
+        assert sorted(map(tuple, cut.select("document_id", "ord", "pre", "post", "parent_ord", "path").collect())) == sorted(
+            map(tuple, number_intervals(df).select("document_id", "ord", "pre", "post", "parent_ord", "path").collect())
+        )
     ids = {(r["document_id"], r["ord"]): r["id"] for r in with_block_ids(df).collect()}
     assert [ids[d, i] for d, i, _ in rows] == list(range(len(rows)))
 
