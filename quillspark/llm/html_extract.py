@@ -58,6 +58,12 @@ class Scores:
     def __init__(self, boxes: frozenset, tags: dict[str, float], word: float, link: float, other: float, framed: bool):
         self.boxes, self.tags, self.word, self.link, self.other, self.framed = boxes, tags, word, link, other, framed
 
+    def of(self, tag: str, text: str, link: bool) -> float:
+        """The score of one token of a page."""
+        if tag:
+            return self.tags.get(tag, -0.01 if tag.lstrip("/") in _INLINE else self.other)
+        return len(text.split()) * (self.link if link else self.word)
+
 
 def features(name: str, attrs: str) -> list[str]:
     """Names under which an element is known: its tag; whether it is hidden; its class, id and role values and their parts."""
@@ -287,6 +293,18 @@ def fit(pages: list[Page], share: float = 0.02, support: int = 3) -> Scores:
     return Scores(boxes, tags, max(0.05, odds(words[False][1], words[False][0])), max(0.05, odds(words[True][1], words[True][0])), -0.5, beside[1] <= share * sum(beside))
 
 
+def best_run(values: list[float]) -> tuple[int, int]:
+    """(first, end) of the contiguous run with the greatest positive sum, of equal ones the first, then the longest; (0, 0) if there is none."""
+    best, span, total, begin = 0.0, (0, 0), 0.0, 0
+    for i, v in enumerate(values):
+        total += v
+        if total > best or (total == best and span[0] == begin and best > 0):
+            best, span = total, (begin, i + 1)
+        if total < 0:
+            total, begin = 0.0, i + 1
+    return span
+
+
 def extract_text(page: str | None, scores: Scores | None = None) -> str:
     """The main text of one page."""
     if not page:
@@ -295,18 +313,9 @@ def extract_text(page: str | None, scores: Scores | None = None) -> str:
     tokens = list(sequence(page, scores.boxes))
     if scores.framed and _framed(tokens):
         tokens = _without_beside(tokens)
-    best, best_span, total, begin = 0.0, (0, 0), 0.0, 0
-    for i, (tag, text, link, _) in enumerate(tokens):
-        if tag:
-            total += scores.tags.get(tag, -0.01 if tag.lstrip("/") in _INLINE else scores.other)
-        else:
-            total += len(text.split()) * (scores.link if link else scores.word)
-        if total > best or (total == best and best_span[0] == begin and best > 0):
-            best, best_span = total, (begin, i + 1)
-        if total < 0:
-            total, begin = 0.0, i + 1
+    first, end = best_run([scores.of(tag, text, link) for tag, text, link, _ in tokens])
     blocks, now = [], []
-    for tag, text, _, _ in tokens[best_span[0] : best_span[1]]:
+    for tag, text, _, _ in tokens[first:end]:
         if not tag:
             now.append(text)
         elif tag.lstrip("/") not in _INLINE and now:

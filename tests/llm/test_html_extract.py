@@ -1,9 +1,11 @@
 import html
+import itertools
+import random
 import re
 
 import pytest
 
-from quillspark.llm.html_extract import default_scores, extract, extract_text, op1_html_extract
+from quillspark.llm.html_extract import best_run, default_scores, extract, extract_text, op1_html_extract, sequence
 from quillspark.llm.html_pages import labelled_pages
 
 BODY = "Alpha beta gamma delta epsilon zeta eta theta iota kappa."
@@ -91,3 +93,38 @@ def test_frame(spark):
     assert got.columns == ["page_id", "text", "n_chars"]
     assert sorted(map(tuple, got.collect())) == [(1, "", 0), (2, "x", 1), (2, "x", 1)]
     assert extract(rows.limit(0)).count() == 0
+
+
+def test_best_run_against_all_runs():
+    rng = random.Random(5)
+    for _ in range(2000):
+        values = [rng.choice([-3.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0]) for _ in range(rng.randrange(12))]
+        runs = [(sum(values[i:j]), -i, j) for i, j in itertools.combinations(range(len(values) + 1), 2)]
+        best = max(runs, default=(0, 0, 0))
+        first, end = best_run(values)
+        if best[0] <= 0:
+            assert (first, end) == (0, 0)
+        else:
+            assert sum(values[first:end]) == best[0]
+            assert first == min(-i for v, i, _ in runs if v == best[0])  # sums of halves are exact
+            assert end == max(j for v, i, j in runs if v == best[0] and -i == first)
+
+
+def plain_site(rng):
+    """A page without article, main, class, id or role: only the run of words and tags tells what the article is."""
+    word = lambda n: " ".join(rng.choice(["alder", "birch", "cedar", "doum", "elm", "fir"]) + str(rng.randrange(999)) for _ in range(n))
+    links = lambda n: "".join(f'<div><a href="/{i}">{word(rng.randint(1, 2))}</a></div>' for i in range(n))
+    parts = [word(rng.randint(25, 60)) for _ in range(rng.randint(3, 9))]
+    title = word(5)
+    body = f"<h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in parts)
+    return f"<html><body><div>{links(rng.randint(4, 9))}</div><div>{body}</div><div>{links(rng.randint(4, 9))}</div></body></html>", " ".join([title, *parts])
+
+
+def test_the_run_decides_where_no_name_does():
+    rng = random.Random(12)
+    right = every = 0
+    for _ in range(100):
+        page, text = plain_site(rng)
+        right += extract_text(page) == text
+        every += " ".join(t for _, t, _, _ in sequence(page, default_scores().boxes) if t).split() == text.split()
+    assert every == 0 and right >= 90
