@@ -8,14 +8,18 @@ missing there counts as the profile's length.
 
 Profiles are learnt from every training row: each task counts into one table of
 (language, n-gram), which is summed by key, so nothing but distinct n-grams is
-shuffled.  The profiles (languages x length rows) go to the tasks in the closure.
+shuffled.  The profiles (languages x length rows) go to the tasks in the closure;
+more than ``MAX_LANGS`` labels are an error, since no label may be left out.
 Prediction is one pass without a shuffle.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and
 so is every text where nothing could be learnt.  Equal frequencies go by
 n-gram, equal distances by language name.  Rows without language or id teach
-nothing.  Empty tables give empty results; other columns are left alone, and one
-with the name of an output column is replaced.
+nothing.  Rows repeated are learnt from and identified each.  Texts of any length
+are read whole.  Empty tables give empty results; other columns are left alone, and
+one with the name of an output column is replaced.  ``accepted`` turns away texts
+without a letter, and those of whose profile less than ``LEAST_SHARED`` is in the
+nearest language's (another script, say), however far the other languages are.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ from pyspark.sql import types as T
 from .common import free_prefix, table
 
 LENGTH = 400
+MAX_LANGS = 10_000
+LEAST_SHARED = 0.1
 UNKNOWN = "und"
 _CHARS = 1 << 18  # characters that are split at once; a longer text is a piece of its own
 
@@ -119,7 +125,10 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", lengt
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
     best = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= length).select("lang", "gram", "r")
     out: dict[str, list[tuple[int, int]]] = {}
-    for r in best.collect():
+    found = best.limit(MAX_LANGS * length + 1).collect()
+    if len(found) > MAX_LANGS * length:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    for r in found:
         out.setdefault(r["lang"], []).append((r["r"], r["gram"]))
     return {lang: [g for _, g in sorted(ranked)] for lang, ranked in sorted(out.items())}
 
@@ -140,22 +149,24 @@ class Profiles:
         for i, k in enumerate(self.langs):
             self.rank[i, np.searchsorted(self.grams, profiles[k])] = np.arange(len(profiles[k]))
 
-    def best(self, grams: np.ndarray) -> tuple[str, float]:
+    def best(self, grams: np.ndarray) -> tuple[str, float, float]:
+        """The nearest language, by what part it is nearer than the next, and the share of the text's profile that is in its profile."""
         if not len(grams):
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0
         mine = ranks(grams, self.length)
         at = np.minimum(np.searchsorted(self.grams, mine), len(self.grams) - 1)
         there = self.rank[:, at]
-        away = np.where((there >= 0) & (self.grams[at] == mine), np.abs(there - np.arange(len(mine))), self.length).sum(axis=1)
+        known = (there >= 0) & (self.grams[at] == mine)
+        away = np.where(known, np.abs(there - np.arange(len(mine))), self.length).sum(axis=1)
         order = np.argsort(away, kind="stable")
         next_best = min([self.length * len(mine), *(int(away[i]) for i in order[1:2])])
-        return self.langs[order[0]], (next_best - int(away[order[0]])) / next_best if next_best else 0.0
+        return self.langs[order[0]], (next_best - int(away[order[0]])) / next_best if next_best else 0.0, float(known[order[0]].mean())
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", length: int = LENGTH, lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and a score: by how much the best language is nearer than the next, 0 to 1."""
-    docs = docs.drop(lang_out, score_out)
-    schema = T.StructType([*docs.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
+def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", length: int = LENGTH, lang_out: str = "lang_pred", score_out: str = "score", shared_out: str = "shared") -> DataFrame:
+    """``docs`` with the predicted language, a score (by how much the best language is nearer than the next, 0 to 1) and the share of the text's profile that its profile has."""
+    docs = docs.drop(lang_out, score_out, shared_out)
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType()), T.StructField(shared_out, T.DoubleType())])
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -164,9 +175,9 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
             found = []
             texts = batch.column(at).to_pylist()
             for a, b in _pieces(texts):
-                found += [table.best(g) if table else (UNKNOWN, 0.0) for g in _grams(texts[a:b])]
+                found += [table.best(g) if table else (UNKNOWN, 0.0, 0.0) for g in _grams(texts[a:b])]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], [*batch.schema.names, lang_out, score_out]
+                [*batch.columns, *[pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]], [*batch.schema.names, lang_out, score_out, shared_out]
             )
 
     return docs.mapInArrow(run, schema)
@@ -183,9 +194,9 @@ def op9_language_id(spark, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), profiles).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
+def accepted(docs: DataFrame, least_shared: float = LEAST_SHARED) -> DataFrame:
     """The rows whose text has a language, all columns unchanged; profiles learnt from the rows themselves."""
     profiles = learn(docs.where(~held_out()))
     p = free_prefix(docs.columns)
-    found = identify(docs, profiles, lang_out=p + "lang", score_out=p + "score")
-    return found.where((F.col(p + "lang") != UNKNOWN) & (F.col(p + "score") >= min_score)).select(*docs.columns)
+    found = identify(docs, profiles, lang_out=p + "lang", score_out=p + "score", shared_out=p + "shared")
+    return found.where((F.col(p + "lang") != UNKNOWN) & (F.col(p + "shared") >= least_shared)).select(*docs.columns)

@@ -11,7 +11,8 @@ the id; the weights (``2**bits`` floats) go to the tasks as a broadcast of that
 fixed size.  Scoring is one pass without a shuffle, vectorised over chunks.
 
 Defined cases: null and empty texts are scored with no feature (the thresholds
-alone).  Ratings without grade or text are left out; a document rated twice
+alone).  Texts of any length are read whole; a repeated row is scored each time.
+Ratings without grade or text are left out; a document rated twice
 counts twice.  Without ratings, or with one grade only, scores are null and
 every row is kept.  Empty tables give empty results; other columns are returned
 unchanged, one with the name of an output column is replaced.
@@ -91,6 +92,25 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - f[:, None], -500, 500)))
 
 
+def thresholds_of(steps: np.ndarray) -> np.ndarray:
+    """Ordered thresholds: the first, then logarithms of the gaps."""
+    return steps[0] + np.concatenate(([0.0], np.cumsum(np.exp(steps[1:]))))
+
+
+def penalised_loss(w: np.ndarray, steps: np.ndarray, row: np.ndarray, col: np.ndarray, val: np.ndarray, grade: np.ndarray, decay: float) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood with half ``decay`` times the squared weights, and its gradient by (w, steps)."""
+    n, cuts = len(grade), len(steps)
+    edge = np.concatenate(([-np.inf], thresholds_of(steps), [np.inf]))
+    f = np.bincount(row, weights=w[col] * val, minlength=n)
+    hi, lo = 1 / (1 + np.exp(np.clip(f - edge[grade + 1], -50, 50))), 1 / (1 + np.exp(np.clip(f - edge[grade], -50, 50)))
+    p = np.maximum(hi - lo, 1e-9)
+    d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
+    g_w = np.bincount(col, weights=val * (d_hi - d_lo)[row], minlength=len(w)) / n + decay * w
+    g_edge = np.array([(-d_hi[grade == j].sum() + d_lo[grade == j + 1].sum()) / n for j in range(cuts)])
+    g_steps = np.concatenate((g_edge.sum(keepdims=True), np.cumsum(g_edge[::-1])[::-1][1:] * np.exp(steps[1:])))
+    return float(-np.log(p).mean() + decay / 2 * (w @ w)), np.concatenate((g_w, g_steps))
+
+
 def fit_ordinal(row: np.ndarray, col: np.ndarray, val: np.ndarray, grade: np.ndarray, grades: int, dim: int, rounds: int = 200, decay: float = 3e-4, least: int = 4, chi: float = 30.0) -> Model:
     """Penalised maximum likelihood by Adam over all rows.
 
@@ -117,26 +137,15 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, val: np.ndarray, grade: np.nda
     t = np.log(freq / (1 - freq))
     steps = np.concatenate((t[:1], np.log(np.maximum(np.diff(t), 1e-2))))
     m, v = np.zeros(len(w) + grades - 1), np.zeros(len(w) + grades - 1)
-    edge = np.concatenate(([-np.inf], np.zeros(grades - 1), [np.inf]))
     for k in range(1, rounds + 1):
-        edge[1:-1] = steps[0] + np.concatenate(([0.0], np.cumsum(np.exp(steps[1:]))))
-        f = np.bincount(row, weights=w[col] * val, minlength=n)
-        hi, lo = 1 / (1 + np.exp(np.clip(f - edge[grade + 1], -50, 50))), 1 / (1 + np.exp(np.clip(f - edge[grade], -50, 50)))
-        p = np.maximum(hi - lo, 1e-9)
-        d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
-        g_w = np.bincount(col, weights=val * (d_hi - d_lo)[row], minlength=len(w)) / n + decay * w
-        g_edge = np.zeros(grades - 1)
-        for j in range(grades - 1):
-            g_edge[j] = (-d_hi[grade == j].sum() + d_lo[grade == j + 1].sum()) / n
-        g_steps = np.concatenate((g_edge.sum(keepdims=True), np.cumsum(g_edge[::-1])[::-1][1:] * np.exp(steps[1:])))
-        g = np.concatenate((g_w, g_steps))
+        _, g = penalised_loss(w, steps, row, col, val, grade, decay)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.1 * (1 - (k - 1) / rounds) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
         w -= step[: len(w)]
         steps -= step[len(w) :]
     weights = np.zeros(dim, dtype=np.float32)
     weights[use] = w
-    return Model(weights, steps[0] + np.concatenate(([0.0], np.cumsum(np.exp(steps[1:])))))
+    return Model(weights, thresholds_of(steps))
 
 
 def fit(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8000, bits: int = BITS) -> Model | None:
