@@ -1,10 +1,14 @@
 """Approximate nearest neighbours by inner product: inverted file, product
 quantised residuals, asymmetric tables, exact reranking.
 
-Fitting.  Coarse centroids, residual codebooks and the number of cells to probe
-come from a sample of ``sample_rows`` vectors at most, chosen by a hash of the
-id.  The probes are the fewest that find ``target`` of the exact neighbours within
-the sample, so tight clusters are searched narrowly and shapeless data widely.
+Fitting.  The number of cells grows as the square root of the rows, up to
+``max_cells``.  The first ``TOP`` centroids, residual codebooks and the number of cells
+to probe come from a sample of ``sample_rows`` vectors at most, chosen by a hash of the
+id.  Where more cells are wanted, each of these first cells is divided further, all at
+once in tasks, each from a sample of ``PER_CELL`` vectors a cell that it is to have
+(``MOST_PARTS`` cells at most, so a task's sample is bounded, however hot its cell).  The
+probes are the fewest that find ``target`` of the exact neighbours within the
+sample, so tight clusters are searched narrowly and shapeless data widely.
 
 Searching.  Every vector is indexed.  A cell is cut into sub-cells of about
 ``block_rows`` vectors (a hot cell into many), sub-cells are hashed to groups, and
@@ -30,6 +34,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,34 +60,66 @@ def vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return at[ok], rows[ok]
 
 
+def _closest(x: np.ndarray, c: np.ndarray, block: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centroid of each row, and the squared distance less the row's own square."""
+    near, far, own = np.empty(len(x), np.int64), np.empty(len(x), np.float32), (c * c).sum(1)[None, :]
+    for a in range(0, len(x), block):
+        d = own - 2 * (x[a : a + block] @ c.T)
+        near[a : a + block] = d.argmin(1)
+        far[a : a + block] = d.min(1)
+    return near, far
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np.ndarray:
     """Centroids; an empty cluster takes over the point farthest from its own."""
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), k, replace=False)].astype(np.float32)
     for _ in range(rounds):
-        d = (c * c).sum(1)[None, :] - 2 * (x @ c.T)
-        near = d.argmin(1)
+        near, far = _closest(x, c)
         n = np.bincount(near, minlength=k)
         total = np.zeros_like(c)
         np.add.at(total, near, x)
-        c = total / np.maximum(n, 1)[:, None]
+        c = (total / np.maximum(n, 1)[:, None]).astype(np.float32)
         empty = np.flatnonzero(n == 0)
         if len(empty):
-            c[empty] = x[np.argsort(-d.min(1))[: len(empty)]]
+            c[empty] = x[np.argsort(-far)[: len(empty)]]
     return c
 
 
+#: First cells at most, sampled vectors for each cell wanted, and cells at most that a first cell is divided into
+TOP, PER_CELL, MOST_PARTS = 256, 40, 1024
+
+
+class Top:
+    """The first cells, from the driver's sample."""
+
+    def __init__(self, sample: np.ndarray, total: int, max_cells: int):
+        self.x = sample.astype(np.float32)
+        wanted = max(1, min(max_cells, int(2 * math.sqrt(max(total, 1)))))
+        self.centroids = kmeans(self.x, max(1, min(TOP, wanted, len(self.x) // PER_CELL)))
+        near, _ = _closest(self.x, self.centroids)
+        self.rows = np.bincount(near, minlength=len(self.centroids)) * (total / len(self.x))
+        self.parts = np.ones(len(self.centroids), np.int64)
+        if wanted > len(self.centroids) and total >= PER_CELL * wanted:
+            self.parts = np.clip(np.round(self.rows / total * wanted), 1, MOST_PARTS).astype(np.int64)
+
+
 class Index:
-    """Centroids, codebooks and probes; small, of bounded size."""
-
-    def __init__(self, sample: np.ndarray, total: int, k: int, cells: int, target: float):
-        x = sample.astype(np.float32)
-        self.dim = x.shape[1]
-        self.total = total
-        self.cells = max(1, min(cells, len(x) // 40, int(2 * math.sqrt(max(total, 1)))))
-        self.coarse = kmeans(x, self.cells)
+    """Centroids, codebooks and probes; small, of bounded size.
+
+    ``leaves`` are the cells, those of a first cell next to each other; ``rows`` is
+    about how many vectors each will hold.
+    """
+
+    def __init__(self, top: Top, total: int, k: int, target: float, leaves: list[np.ndarray] | None = None, rows: np.ndarray | None = None):
+        x, self.dim, self.total = top.x, top.x.shape[1], total
+        self.top = top.centroids
+        groups = leaves if leaves is not None else [c[None, :] for c in top.centroids]
+        self.first = np.concatenate(([0], np.cumsum([len(g) for g in groups])))
+        self.coarse = np.ascontiguousarray(np.concatenate(groups), dtype=np.float32)
+        self.cells = len(self.coarse)
+        self.rows = top.rows if rows is None else rows
         near = self.nearest(x)
-        self.share = np.bincount(near, minlength=self.cells) / max(1, len(x))
         self.parts = next(m for m in (16, 12, 10, 8, 6, 5, 4, 3, 2, 1) if self.dim % m == 0)
         width = self.dim // self.parts
         rest = (x - self.coarse[near])[:8192]
@@ -91,7 +128,17 @@ class Index:
         self.probes = self._fit_probes(x, near, k, target)
 
     def nearest(self, x: np.ndarray) -> np.ndarray:
-        return ((self.coarse * self.coarse).sum(1)[None, :] - 2 * (x @ self.coarse.T)).argmin(1)
+        """The cell of each row: the nearest in its first cell."""
+        above, _ = _closest(x, self.top)
+        if self.cells == len(self.top):
+            return above
+        out = np.empty(len(x), np.int64)
+        order = np.argsort(above, kind="stable")
+        cuts = np.searchsorted(above[order], np.arange(len(self.top) + 1))
+        for c in np.unique(above).tolist():
+            rows = order[cuts[c] : cuts[c + 1]]
+            out[rows] = self.first[c] + _closest(x[rows], self.coarse[self.first[c] : self.first[c + 1]])[0]
+        return out
 
     def _fit_probes(self, x: np.ndarray, near: np.ndarray, k: int, target: float) -> int:
         tries = np.arange(0, len(x), max(1, len(x) // 400))
@@ -125,8 +172,8 @@ class Index:
         return np.stack([q[:, m * width : (m + 1) * width] @ book.T for m, book in enumerate(self.books)])
 
 
-def fit(rows: DataFrame, k: int, sample_rows: int, cells: int, target: float) -> Index | None:
-    """Fit on a bounded sample of rows (id, vec)."""
+def fit(rows: DataFrame, k: int, sample_rows: int, max_cells: int, target: float) -> Index | None:
+    """Fit on bounded samples of rows (id, vec)."""
     there = rows.where(F.col("vec").isNotNull() & F.col("id").isNotNull())
     total = there.count()
     part = 1.0 if total <= sample_rows else 1.1 * sample_rows / total
@@ -139,12 +186,49 @@ def fit(rows: DataFrame, k: int, sample_rows: int, cells: int, target: float) ->
     if not len(lengths):
         return None
     _, sample = vectors(picked, int(np.bincount(lengths).argmax()))
-    return Index(sample[:sample_rows], total, k, cells, target) if len(sample) else None
+    if not len(sample):
+        return None
+    top = Top(sample[:sample_rows], total, max_cells)
+    if (top.parts == 1).all():
+        return Index(top, total, k, target)
+    return Index(top, total, k, target, *_divide(there, top))
+
+
+def _divide(rows: DataFrame, top: Top) -> tuple[list[np.ndarray], np.ndarray]:
+    """(cells of each first cell, rows that each will hold): a task for each first cell, on a bounded sample."""
+    dim, shared = top.x.shape[1], rows.sparkSession.sparkContext.broadcast((top.centroids, top.parts, top.rows))
+    most = float(np.max(np.minimum(1.0, PER_CELL * top.parts / np.maximum(top.rows, 1))))
+    draw = F.shiftrightunsigned(F.xxhash64("id", F.lit(23)), 11).cast("double") * F.lit(2.0**-53)
+
+    def place(batches):
+        centroids, parts, held = shared.value
+        keep = np.minimum(1.0, PER_CELL * parts / np.maximum(held, 1))
+        for batch in batches:
+            at, x = vectors(batch.column(0), dim)
+            if not len(at):
+                continue
+            near, _ = _closest(x.astype(np.float32), centroids)
+            use = batch.column(1).to_numpy()[at] < keep[near]
+            yield pa.RecordBatch.from_arrays([pa.array(near[use].astype(np.int32)), pa.array([v.tobytes() for v in x[use].astype(np.float32)], pa.binary())], ["cell", "vec"])
+
+    def divide(key, part):
+        _, parts, held = shared.value
+        c = int(key[0])
+        x = np.frombuffer(b"".join(sorted(part["vec"])), np.float32).reshape(-1, dim)
+        found = kmeans(x, int(max(1, min(parts[c], len(x) // 2))))
+        n = np.bincount(_closest(x, found)[0], minlength=len(found)) * (held[c] / len(x))
+        return pd.DataFrame({"cell": c, "no": range(len(found)), "vec": [v.tobytes() for v in found], "n": n.astype(float)})
+
+    drawn = rows.select("vec", draw.alias("draw")).where(F.col("draw") < most).mapInArrow(place, "cell int, vec binary")
+    got = drawn.groupBy("cell").applyInPandas(divide, "cell int, no int, vec binary, n double").toPandas().sort_values(["cell", "no"])
+    of = {c: g for c, g in got.groupby("cell")}
+    leaves = [np.frombuffer(b"".join(of[c]["vec"]), np.float32).reshape(-1, dim) if c in of else top.centroids[c : c + 1] for c in range(len(top.centroids))]
+    return leaves, np.concatenate([of[c]["n"].to_numpy() if c in of else top.rows[c : c + 1] for c in range(len(top.centroids))])
 
 
 def _layout(index: Index, block_rows: int, group_rows: int, tasks: int) -> tuple[np.ndarray, int]:
     """(sub-cells of each cell, groups): enough groups for the tasks, none above ``group_rows``."""
-    subs = np.maximum(1, np.ceil(index.share * index.total / block_rows)).astype(np.int64)
+    subs = np.maximum(1, np.ceil(index.rows / block_rows)).astype(np.int64)
     return subs, max(1, math.ceil(index.total / group_rows), min(tasks, math.ceil(index.total / 512)))
 
 
@@ -186,20 +270,24 @@ def _search(index_rows: DataFrame, query_rows: DataFrame, shared, k: int, probes
     def send(batches):
         index = shared.value
         subs, groups = _layout(index, block_rows, group_rows, tasks)
-        holders = [np.unique(_group_of(np.full(s, c), np.arange(s), groups)) for c, s in enumerate(subs)]
+        # the groups that hold each cell, next to each other
+        cell, sub = np.repeat(np.arange(len(subs)), subs), np.arange(subs.sum()) - np.repeat(np.cumsum(subs) - subs, subs)
+        pairs = np.unique(np.stack([cell, _group_of(cell, sub, groups).astype(np.int64)], axis=1), axis=0)
+        starts = np.searchsorted(pairs[:, 0], np.arange(len(subs) + 1))
         for batch in batches:
             at, q = vectors(batch.column(1), index.dim)
             if not len(at):
                 continue
             ids = batch.column(0).take(pa.array(at)).to_pylist()
             out = []
-            for i, vec, cells in zip(ids, q, index.order(q)[:, :probes]):
-                mine: dict[int, list[int]] = {}
-                for c in cells.tolist():
-                    for g in holders[c].tolist():
-                        mine.setdefault(g, []).append(c)
+            probed = (cells for a in range(0, len(q), 256) for cells in index.order(q[a : a + 256])[:, :probes])
+            for i, vec, cells in zip(ids, q, probed):
+                n = starts[cells + 1] - starts[cells]
+                mine = pairs[np.arange(n.sum()) + np.repeat(starts[cells] - (np.cumsum(n) - n), n)]
+                mine = mine[np.argsort(mine[:, 1], kind="stable")]
+                cuts = np.flatnonzero(np.concatenate(([True], mine[1:, 1] != mine[:-1, 1], [True])))
                 raw = vec.astype(kind).tobytes()
-                out += [(int(g), 1, i, raw, 0, 0, np.array(cs, np.int32).tobytes()) for g, cs in mine.items()]
+                out += [(int(mine[a, 1]), 1, i, raw, 0, 0, mine[a:b, 0].astype(np.int32).tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _KINDS)], ["grp", "kind", "id", "vec", "cell", "sub", "extra"])
 
     def score(batches):
@@ -331,7 +419,7 @@ def search(
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     sample_rows: int = 20_000,
-    cells: int = 256,
+    max_cells: int = 1 << 16,
     target: float = 0.97,
     shortlist: int = 32,
     block_rows: int = 4096,
@@ -342,7 +430,7 @@ def search(
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id is not null")
     queries = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id is not null")
     empty = spark.range(0).select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
-    index = fit(rows, k, sample_rows, cells, target)
+    index = fit(rows, k, sample_rows, max_cells, target)
     if index is None:
         return empty
     shared = spark.sparkContext.broadcast(index)

@@ -2,7 +2,8 @@ import math
 
 import numpy as np
 
-from quillspark.llm.ann import op3_ann_search, search
+from quillspark.llm import ann
+from quillspark.llm.ann import fit, op3_ann_search, search
 
 SCHEMA = "vec_id long, embedding array<float>, score string, rank int"
 
@@ -87,7 +88,7 @@ def test_one_id_with_many_vectors_takes_one_place(spark):
     rng = np.random.default_rng(3)
     rows = [(50_001, [9.0 + j / 1000, 1.0, 1.0, 1.0]) for j in range(300)] + [(i, (rng.normal(size=4) + 1).tolist()) for i in range(400)]
     df = spark.createDataFrame([(i, v, "", 0) for i, v in rows], SCHEMA)
-    got = collect(search(df, df.where("vec_id = 20"), cells=1))[20]
+    got = collect(search(df, df.where("vec_id = 20"), max_cells=1))[20]
     want = {}
     q = np.array(dict(rows)[20], np.float32).astype(float)
     for i, v in rows:
@@ -95,3 +96,28 @@ def test_one_id_with_many_vectors_takes_one_place(spark):
             want[i] = max(want.get(i, -np.inf), float(np.array(v, np.float32).astype(float) @ q))
     best = sorted(want, key=lambda i: (-want[i], i))[:20]
     assert [v for v, _ in got] == best
+
+
+def test_cells_of_cells(spark, monkeypatch):
+    monkeypatch.setattr(ann, "TOP", 8)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(60, 16)) * 3
+    rows = [(i, (centres[i % 60] + rng.normal(size=16) * 0.3).astype(np.float32).tolist()) for i in range(5500)]
+    rows += [(5500 + i, [1.0] * 16) for i in range(2500)] + [(9000, None)]
+    df = spark.createDataFrame([(i, v, "", 0) for i, v in rows], SCHEMA)
+    index = fit(df.selectExpr("vec_id AS id", "embedding AS vec"), 20, 20_000, 1 << 16, 0.97)
+    assert index.cells > 60 == len(centres) and len(index.top) == 8 and index.first[-1] == index.cells == len(index.rows)
+    assert abs(index.rows.sum() - 8000) < 1 and index.probes < index.cells / 2
+    x = np.array([v for _, v in rows[:500]], np.float32)
+    near = index.nearest(x)
+    above = ((x[:, None, :] - index.top[None]) ** 2).sum(2).argmin(1)
+    for i in range(500):
+        mine = np.arange(index.first[above[i]], index.first[above[i] + 1])
+        away = ((index.coarse[mine] - x[i]) ** 2).sum(1)
+        assert near[i] in mine and away[near[i] - mine[0]] <= away.min() + 1e-3
+    got = collect(search(df, df.where("vec_id % 20 = 0")))
+    want = exact([r for r in rows if r[1]])
+    kth = {q: w[-1][1] for q, w in want.items()}
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    good = sum(s >= kth[q] - 1e-9 for q, found in got.items() for _, s in found)
+    assert good >= 0.95 * sum(map(len, want.values()))
