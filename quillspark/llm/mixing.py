@@ -12,12 +12,16 @@ and their shares stay below it.  Documents are then drawn by a hash of their id:
 draw is the same in every run, on any partitioning.
 
 Rows are aggregated to cells on the map side.  Up to ``max_cells`` cells (counted
-first) are raked on the driver and broadcast back; more are raked by DataFrame
-rounds, of which only sums reach the driver (and the shares of a marginal whose
-target is a function other than ``flatten``), and joined by a shuffle.  Both ways
-rake alike, until no share is off by ``TOLERANCE`` or for ``ROUNDS`` rounds; the
-numbers differ by rounding.  Targets not met by then (sparse cells may allow no
-weights that meet them) are reported by a warning.
+first) are raked on the driver; more are raked by DataFrame rounds, of which only
+sums reach the driver (and the shares of a marginal whose target is a function other
+than ``flatten``).  Both ways rake alike, until no share is off by ``TOLERANCE`` or for
+``ROUNDS`` rounds; the numbers differ by rounding.  Targets not met by then (sparse cells
+may allow no weights that meet them) are reported by a warning.
+
+A cell's weight is a product of one factor per marginal, and only these go back to
+the rows: one small table per marginal, broadcast as long as it has ``max_cells``
+values at most, so texts stay where they are however many cells there are.  A
+marginal with more values than that is joined by a shuffle.
 
 Defined cases: null and empty texts have no tokens and take their cell's
 probability, as has a null id (all null ids share one draw).  A null source,
@@ -91,28 +95,34 @@ def _targets(shares: pd.Series, target) -> pd.Series:
 
 def rake(cells: pd.DataFrame, targets: dict, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
     """Weights of the cells (dims and ``tokens``)."""
+    return rake_factors(cells, targets, rounds, tolerance)[0]
+
+
+def rake_factors(cells: pd.DataFrame, targets: dict, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, dict[str, dict]]:
+    """Weights of the cells, and for each marginal the factors of its values, whose products the weights are."""
     w = np.ones(len(cells))
     mass = cells["tokens"].to_numpy(dtype=float)
     if not mass.sum():
-        return w
+        return w, {d: dict.fromkeys(cells[d], 1.0) for d in targets}
     codes = {}
     for d, target in targets.items():
         code, values = pd.factorize(cells[d])
         share = pd.Series(np.bincount(code, weights=mass, minlength=len(values)) / mass.sum(), index=values)
         goal = _targets(share, target)
-        codes[d] = (code, np.array([goal.get(v, 0.0) for v in values]) * mass.sum())
+        codes[d] = (code, np.array([goal.get(v, 0.0) for v in values]) * mass.sum(), values, np.ones(len(values)))
     worst = 0.0
     for _ in range(rounds):
         worst = 0.0
-        for code, goal in codes.values():
+        for code, goal, _, f in codes.values():
             now = np.bincount(code, weights=w * mass, minlength=len(goal))
             ratio = np.divide(goal, now, out=np.ones_like(goal), where=now > 0)
             worst = max(worst, float(np.abs(ratio - 1)[now > 0].max(initial=0)))
-            w = w * ratio[code]
+            f *= ratio
+            w = functools.reduce(np.multiply, [g[c] for c, _, _, g in codes.values()])
         if worst < tolerance:
             break
     _report(worst, tolerance, rounds)
-    return w
+    return w, {d: dict(zip(values, f.tolist())) for d, (_, _, values, f) in codes.items()}
 
 
 def _report(worst: float, tolerance: float, rounds: int) -> None:
@@ -160,8 +170,8 @@ def _goal_table(state: DataFrame, d: str, target, total: float) -> DataFrame:
     return materialize(raw.withColumn("goal", F.col("goal") * F.lit(total / whole)), "goals")
 
 
-def _rake_wide(cells: DataFrame, dims: list[str], targets: dict, budget: float | None, rounds: int = ROUNDS, least: float = 0.0, tolerance: float = TOLERANCE) -> DataFrame:
-    """``rake`` and ``factor`` for more cells than a driver holds; a round writes one factor per value of a marginal."""
+def _rake_wide(cells: DataFrame, dims: list[str], targets: dict, budget: float | None, rounds: int = ROUNDS, least: float = 0.0, tolerance: float = TOLERANCE) -> tuple[dict[str, DataFrame], float, DataFrame]:
+    """``rake_factors`` and ``factor`` for more cells than a driver holds, and the weighted cells; a round writes one factor per value of a marginal."""
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     goals = {d: _goal_table(cells, d, target, total) for d, target in targets.items()}
     factors = {d: cells.select(F.col(d).alias("_v")).distinct().withColumn("_f", F.lit(1.0)) for d in targets}
@@ -196,24 +206,23 @@ def _rake_wide(cells: DataFrame, dims: list[str], targets: dict, budget: float |
             s = (low * high) ** 0.5 if low else high / 2**20
             got = float(state.agg(F.sum(F.least(F.lit(1.0), F.col("w") * s) * F.col("tokens"))).first()[0] or 0)
             low, high = (s, high) if got < budget else (low, s)
-    return state.select(*dims, F.col("w").alias("weight"), F.least(F.lit(1.0), F.col("w") * s).alias("probability"))
+    return factors, s, state
 
 
-def weighted_cells(rows: DataFrame, targets: dict, budget_share: float | None = None, max_cells: int = 50_000, least_share: float = LEAST_SHARE) -> DataFrame:
-    """dims, weight, probability of each cell; ``rows`` has the dims and ``tokens``."""
-    dims = list(targets)
+def calibrate(rows: DataFrame, targets: dict, budget_share: float | None = None, max_cells: int = 50_000, least_share: float = LEAST_SHARE) -> tuple[dict[str, DataFrame], float]:
+    """For each marginal (_v, _f), the factors of its values, and what makes probabilities of their products; ``rows`` has the dims and ``tokens``."""
+    dims, spark = list(targets), rows.sparkSession
     cells = materialize(rows.groupBy(*dims).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")), "cells")
-    n = cells.count()
-    if n > max_cells:
+    if cells.count() > max_cells:
         total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-        return _rake_wide(cells, dims, targets, None if budget_share is None else budget_share * total, least=least_share * total)
-    got = cells.toPandas().sort_values(dims, na_position="first", ignore_index=True)
-    weight = rake(got.assign(**{d: got[d].where(got[d].notna(), None).map(lambda v: ("",) if v is None else v) for d in dims}), targets)
-    mass = got["tokens"].to_numpy(dtype=float)
-    p = np.minimum(1.0, weight * factor(weight, mass, None if budget_share is None else budget_share * mass.sum(), least_share * mass.sum()))
-    made = [(*(None if pd.isna(v) else v for v in row), float(w), float(q)) for row, w, q in zip(got[dims].itertuples(index=False), weight, p)]
-    schema = ", ".join(f"`{d}` string" for d in dims) + ", weight double, probability double"
-    return F.broadcast(cells.sparkSession.createDataFrame(made, schema))
+        factors, scale, _ = _rake_wide(cells, dims, targets, None if budget_share is None else budget_share * total, least=least_share * total)
+    else:
+        got = cells.toPandas().sort_values(dims, na_position="first", ignore_index=True)
+        weight, found = rake_factors(got.assign(**{d: got[d].where(got[d].notna(), None).map(lambda v: ("",) if v is None else v) for d in dims}), targets)
+        mass = got["tokens"].to_numpy(dtype=float)
+        scale = factor(weight, mass, None if budget_share is None else budget_share * mass.sum(), least_share * mass.sum())
+        factors = {d: spark.createDataFrame([(None if v == ("",) else v, float(f)) for v, f in of.items()], "_v string, _f double") for d, of in found.items()}
+    return {d: F.broadcast(f) if f.count() <= max_cells else f for d, f in factors.items()}, float(scale)
 
 
 def draw(id_col: str, seed: int) -> Column:
@@ -226,10 +235,13 @@ def _drawn(docs: DataFrame, targets: dict, dims: dict[str, Column], id_col: str,
     p = free_prefix(docs.columns)
     rows = docs.select(*docs.columns, *[c.cast("string").alias(p + d) for d, c in dims.items()], tokens(text_col).alias(p + "tokens"))
     flat = rows.select(*[F.col(p + d).alias(d) for d in dims], F.col(p + "tokens").alias("tokens"))
-    cells = weighted_cells(flat, {d: targets.get(d) for d in dims}, budget_share, max_cells, least_share)
-    cells = cells.select(*[F.col(d).alias(f"{p}cell_{d}") for d in dims], F.col("weight").alias(p + "weight"), F.col("probability").alias(p + "probability"))
-    on = functools.reduce(lambda x, y: x & y, [F.col(p + d).eqNullSafe(F.col(f"{p}cell_{d}")) for d in dims])
-    drawn = rows.join(cells, on, "left").drop(*[f"{p}cell_{d}" for d in dims])
+    factors, scale = calibrate(flat, {d: targets.get(d) for d in dims}, budget_share, max_cells, least_share)
+    drawn, weight = rows, F.lit(1.0)
+    for d, f in factors.items():
+        drawn = drawn.join(f.select(F.col("_v").alias(f"{p}v_{d}"), F.col("_f").alias(f"{p}f_{d}")), F.col(p + d).eqNullSafe(F.col(f"{p}v_{d}")), "left")
+        weight = weight * F.coalesce(F.col(f"{p}f_{d}"), F.lit(1.0))
+    drawn = drawn.withColumn(p + "weight", weight).withColumn(p + "probability", F.least(F.lit(1.0), F.col(p + "weight") * F.lit(scale)))
+    drawn = drawn.drop(*[f"{p}{x}_{d}" for d in dims for x in "vf"])
     return drawn.withColumn(p + "selected", draw(id_col, seed) < F.col(p + "probability")), p
 
 

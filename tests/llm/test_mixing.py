@@ -107,7 +107,8 @@ def test_wide_way_agrees(spark):
     for budget in (0.7,):
         a = mix(df, targets, budget_share=budget).toPandas().sort_values(["doc_id", "tokens"], ignore_index=True)
         b = mix(df, targets, budget_share=budget, max_cells=0).toPandas().sort_values(["doc_id", "tokens"], ignore_index=True)
-        assert np.allclose(a.weight, b.weight, rtol=1e-4) and np.allclose(a.probability, b.probability, rtol=1e-3)
+        assert np.allclose(a.weight, b.weight, rtol=1e-9) and np.allclose(a.probability, b.probability, rtol=1e-9)
+        assert (a.selected == b.selected).all()
     assert mixing.DIMS == ("source", "lang", "topic")
 
 
@@ -120,8 +121,23 @@ def test_wide_way_agrees_on_sparse_cells(spark):
     with pytest.warns(UserWarning, match="off its target"):
         want = rake(cells, targets, rounds)
     with pytest.warns(UserWarning, match="off its target"):
-        got = mixing._rake_wide(df, ["source", "lang"], targets, None, rounds).toPandas()
-    both = cells.assign(want=want).merge(got, on=["source", "lang"])
-    assert len(both) == 14 and np.allclose(both.weight, both.want, rtol=1e-9)
+        factors, scale, state = mixing._rake_wide(df, ["source", "lang"], targets, None, rounds)
+    both = cells.assign(want=want).merge(state.toPandas(), on=["source", "lang"])
+    assert len(both) == 14 and np.allclose(both.w, both.want, rtol=1e-9)
+    by = {d: {r["_v"]: r["_f"] for r in f.collect()} for d, f in factors.items()}
+    assert np.allclose([by["source"][a] * by["lang"][b] for a, b in zip(both.source, both.lang)], both.want, rtol=1e-9)
+    assert abs(scale * max(want) - 1) < 1e-9
     defaults = [inspect.signature(f).parameters for f in (rake, mixing._rake_wide)]
     assert all(defaults[0][x].default == defaults[1][x].default for x in ("rounds", "tolerance"))
+
+
+def test_texts_are_not_moved(spark):
+    for max_cells in (50_000, 3):
+        plan = survivors(rows(spark), max_cells=max_cells)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_very_long_texts(spark):
+    df = spark.createDataFrame([(1, "word " * 1_000_000, "a", "en"), (2, "x" * 3_000_000, "b", "en"), (3, " \n" * 1_000_000, "a", "en")], "doc_id long, text string, source string, lang string")
+    got = mix(df).toPandas().set_index("doc_id")
+    assert got.tokens.to_dict() == {1: 1_000_000, 2: 1, 3: 0} and got.probability.notna().all()
