@@ -95,7 +95,8 @@ def typeof_sql(argument: str) -> str:
     return f"CASE WHEN ({argument}) IS NULL THEN 'null' ELSE CASE typeof({argument}) {cases} ELSE CASE WHEN typeof({argument}) LIKE 'decimal%' THEN 'float' ELSE typeof({argument}) END END END"
 
 
-def install(spark: SparkSession) -> None:
-    """Define all functions as temporary functions of this session."""
+def install(spark: SparkSession, names: set[str] | None = None) -> None:
+    """Define the functions (of these names only, if given) as temporary functions of this session."""
     for name, (parameters, result, body) in DEFINITIONS.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {body}")
+        if names is None or name in names:
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {body}")

@@ -75,6 +75,8 @@ class Part:
 class DocumentStore:
     def __init__(self, spark: SparkSession, spans: bool = True, location: str | None = None):
         self.spark = spark.newSession()
+        for name in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+            self.spark.conf.set(name, spark.conf.get(name))
         self.spark.conf.set("spark.sql.cteRecursionLevelLimit", "10000")
         self.spark.conf.set("spark.sql.ansi.enabled", "false")  # x / 0, a bad cast or index is NULL, not an error
         self.spans = spans

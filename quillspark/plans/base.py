@@ -26,13 +26,24 @@ def register(name: str, sql: str | None = None):
 
 
 def register_sql(name: str, text: str, oracle: str | None = None) -> None:
-    """A query given as SQL; tables are written ``{name}``.  The oracle is the same text unless another is given."""
+    """A query of the dialect; tables are written ``{name}``.  It goes through a store's SQL front end.  The oracle is the same text unless another is given."""
     names = sorted(set(re.findall(r"\{(\w+)\}", text)))
+    plain = re.sub(r"\{(\w+)\}", r"\1", text)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})
+        return engine(spark, sf_dir, *names).sql(plain)
 
-    register(name, oracle or re.sub(r"\{(\w+)\}", r"\1", text))(run)
+    register(name, oracle or plain)(run)
+
+
+def engine(spark: SparkSession, sf_dir: str, *names: str):
+    """A store with these tables registered."""
+    from ..operators.store import DocumentStore
+
+    store = DocumentStore(spark)
+    for n in names:
+        store.register_table(n, table(store.spark, sf_dir, n))
+    return store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,23 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions import compat
-from .base import register, table
-from .dialect import translate
-
-
-def _dialect(name: str, text: str, oracle: str) -> None:
-    """``text`` is in the dialect; ``{table}`` marks tables."""
-    import re
-
-    names = sorted(set(re.findall(r"\{(\w+)\}", text)))
-
-    def run(spark, sf_dir):
-        compat.install(spark)
-        return spark.sql(translate(text), **{n: table(spark, sf_dir, n) for n in names})
-
-    register(name, oracle)(run)
-
+from .base import register_sql as _dialect
 
 _dialect(
     "fn_string_case_length",
@@ -36,17 +20,17 @@ _dialect(
 )
 _dialect(
     "fn_string_search",
-    """SELECT p_partkey, instr(p_name, 'a') AS i1, instr(p_name, '') AS i0, position('a' IN p_name) AS i2, split_part(p_type, ' ', 2) AS s2, split_part(p_type, ' ', 9) AS s9, substring(p_name, 2, 3) AS u1, substr(p_name, 0, 3) AS u2,
+    """SELECT p_partkey, instr(p_name, 'a') AS i1, instr(p_name, '') AS i0, position('a' IN p_name) AS i2, position('' IN p_name) AS i3, split_part(p_type, ' ', 2) AS s2, split_part(p_type, ' ', 9) AS s9, substring(p_name, 2, 3) AS u1, substr(p_name, 0, 3) AS u2,
     substring(p_name FROM 2 FOR 3) AS u3, substring(p_name, 3) AS u4, replace(p_name, 'a', 'A') AS rp, concat(p_brand, '-', p_size) AS cc, concat_ws('/', p_brand, NULL, p_type) AS cw FROM {part}""",
-    """SELECT p_partkey, instr(p_name, 'a') AS i1, 0 AS i0, instr(p_name, 'a') AS i2, nullif(split_part(p_type, ' ', 2), '') AS s2, NULL::VARCHAR AS s9, substring(p_name, 2, 3) AS u1, substring(p_name, 1, 2) AS u2,
+    """SELECT p_partkey, instr(p_name, 'a') AS i1, 0 AS i0, instr(p_name, 'a') AS i2, 0 AS i3, nullif(split_part(p_type, ' ', 2), '') AS s2, NULL::VARCHAR AS s9, substring(p_name, 2, 3) AS u1, substring(p_name, 1, 2) AS u2,
     substring(p_name, 2, 3) AS u3, substring(p_name, 3) AS u4, replace(p_name, 'a', 'A') AS rp, p_brand || '-' || p_size AS cc, concat_ws('/', p_brand, NULL, p_type) AS cw FROM part""",
 )
 _dialect(
     "fn_numeric_rounding",
     """SELECT o_orderkey, abs(-o_totalprice) AS a, round(o_totalprice) AS r0, round(o_totalprice, 1) AS r1, ceil(o_totalprice) AS c, floor(o_totalprice) AS f, trunc(-o_totalprice) AS t0, truncate(o_totalprice, 1) AS t1,
-    mod(o_orderkey, 7) AS m, mod(o_orderkey, 0) AS m0, sign(o_totalprice - 100000) AS s FROM {orders}""",
+    mod(o_orderkey, 7) AS m, mod(o_orderkey, 0) AS m0, round(mod(o_totalprice, 7), 4) AS m1, mod(-7.5, 2) = -1.5 AS m2, CAST(ceil(o_totalprice, 1) AS DOUBLE) AS c1, ceiling(o_totalprice) AS c2, sign(o_totalprice - 100000) AS s FROM {orders}""",
     """SELECT o_orderkey, abs(-o_totalprice) AS a, round(o_totalprice)::BIGINT AS r0, floor(o_totalprice * 10 + 0.5) / 10 AS r1, ceil(o_totalprice)::BIGINT AS c, floor(o_totalprice)::BIGINT AS f, -floor(o_totalprice)::BIGINT AS t0, floor(o_totalprice * 10) / 10 AS t1,
-    o_orderkey % 7 AS m, NULL::BIGINT AS m0, sign(o_totalprice - 100000)::DOUBLE AS s FROM orders""",
+    o_orderkey % 7 AS m, NULL::BIGINT AS m0, round(fmod(o_totalprice, 7), 4) AS m1, true AS m2, ceil(round(o_totalprice * 10, 6)) / 10 AS c1, ceil(o_totalprice)::BIGINT AS c2, sign(o_totalprice - 100000)::DOUBLE AS s FROM orders""",
 )
 _dialect(
     "fn_numeric_powers",
@@ -60,6 +44,13 @@ _dialect(
     """SELECT l_orderkey, l_linenumber, l_partkey + 1 AS a, l_partkey - l_suppkey AS b, l_quantity * 2 AS c, l_partkey div 3 AS d, l_extendedprice / l_quantity AS e, -l_tax AS f FROM {lineitem}""",
     """SELECT l_orderkey, l_linenumber, l_partkey + 1 AS a, l_partkey - l_suppkey AS b, l_quantity * 2 AS c, l_partkey // 3 AS d, l_extendedprice / l_quantity AS e, -l_tax AS f FROM lineitem""",
 )
+_dialect(
+    "fn_division",
+    """SELECT l_orderkey, l_linenumber, l_partkey / 3 AS a, (l_partkey + l_suppkey) / l_linenumber / 2 AS b, l_extendedprice / 4 AS c, -l_partkey / 2 AS d, l_partkey / 0 AS e, l_orderkey / (l_partkey - l_partkey) AS f,
+    CAST(l_partkey AS DOUBLE) / 2 AS g, CASE WHEN l_partkey / 2 * 2 = l_partkey THEN 1 ELSE 0 END AS h, typeof(l_partkey / 2) AS i FROM {lineitem}""",
+    """SELECT l_orderkey, l_linenumber, l_partkey // 3 AS a, ((l_partkey + l_suppkey) // l_linenumber) // 2 AS b, l_extendedprice / 4 AS c, -(l_partkey // 2) AS d, NULL::BIGINT AS e, NULL::BIGINT AS f,
+    l_partkey::DOUBLE / 2 AS g, (l_partkey % 2 = 0)::INT AS h, 'integer' AS i FROM lineitem""",
+)
 _dialect(
     "fn_null_typeof",
     """SELECT event_id, coalesce(NULL, event_type) AS c1, ifnull(NULL, event_id) AS c2, nullif(event_type, 'click') AS n1, typeof(event_type) AS t1, typeof(event_id) AS t2, typeof(value) AS t3, typeof(event_id > 3) AS t4, typeof(NULL) AS t5 FROM {events}""",

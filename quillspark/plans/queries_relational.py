@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.recursive import fixed_point
 from .base import register, register_sql, table
 
 # filters and projections
@@ -76,7 +75,9 @@ register_sql("cte_shadowing", "WITH nation AS (SELECT n_regionkey FROM {nation}
 register_sql("cte_recursive_seq", "WITH RECURSIVE s(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM s WHERE n < 50) SELECT s.n, count(p_partkey) AS parts FROM s LEFT JOIN {part} ON p_size = s.n GROUP BY s.n")
 
 
-@register("cte_recursive_dedup", "WITH RECURSIVE r(n) AS (SELECT n_nationkey::BIGINT FROM nation WHERE n_nationkey < 3 UNION SELECT (n * n + 3) % 101 FROM r) SELECT n FROM r")
-def cte_recursive_dedup(spark, d):
-    anchor = table(spark, d, "nation").where("n_nationkey < 3").select(F.col("n_nationkey").cast("long").alias("n"))
-    return fixed_point(anchor, lambda new: new.select(((F.col("n") * F.col("n") + 3) % 101).alias("n")))
+register_sql(
+    "cte_recursive_dedup",
+    "WITH RECURSIVE r(n) AS (SELECT CAST(n_nationkey AS BIGINT) FROM {nation} WHERE n_nationkey < 3 UNION SELECT (n * n + 3) % 101 FROM r) SELECT n FROM r",
+)
+register_sql("join_natural", "SELECT n_nationkey, n_name, twice FROM {nation} NATURAL JOIN (SELECT n_nationkey, n_nationkey * 2 AS twice FROM {nation}) d WHERE twice > 10")
+register_sql("join_after_comma", "SELECT r_name, n_name, count(c_custkey) AS n FROM {region}, {nation} LEFT JOIN {customer} ON c_nationkey = n_nationkey WHERE r_regionkey = n_regionkey GROUP BY r_name, n_name")
