@@ -69,13 +69,13 @@ def parse(formatted: Column) -> Column:
 
 
 def _spans(formatted: Column) -> Column:
-    """array<struct<role, start, length>>: where each turn's written text lies (from 0)."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<role:string,start:bigint,length:bigint>>").alias("out"))
+    """array<struct<role, start, length, text>>: where each turn's written text lies (from 0), and the text."""
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<role:string,start:bigint,length:bigint,text:string>>").alias("out"))
 
     def step(acc: Column, p: Column) -> Column:
         head = F.instr(p, TEXT) - 1 + len(TEXT)
         role = F.substring(p, F.lit(len(TURN) + 1), head - len(TEXT) - len(TURN))
-        span = F.struct(unescape(role).alias("role"), (acc["at"] + head).cast("long").alias("start"), (F.length(p) - head).cast("long").alias("length"))
+        span = F.struct(unescape(role).alias("role"), (acc["at"] + head).cast("long").alias("start"), (F.length(p) - head).cast("long").alias("length"), F.substring(p, head + 1, F.length(p)).alias("text"))
         return F.struct((acc["at"] + F.length(p) + len(END)).cast("long").alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
     return F.aggregate(F.filter(F.split(formatted, r"<\|end\|>\n"), lambda p: p != ""), zero, step)["out"]
@@ -92,15 +92,14 @@ def expand(chats: DataFrame, keep: tuple[str, ...] = (), outer: bool = False) ->
     spans = F.filter(_spans(F.col("formatted")), lambda s: s["role"] == "assistant")
     explode = F.posexplode_outer if outer else F.posexplode
     rows = chats.select("conv_id", "formatted", *keep, explode(spans).alias("example_no", "s"))
-    start, length = F.col("s.start").cast("int"), F.col("s.length").cast("int")
     return rows.select(
         "conv_id",
         *keep,
         F.col("example_no").cast("long").alias("example_no"),
         F.col("s.start").alias("context_chars"),
         (F.col("s.length") + len(END)).alias("target_chars"),
-        F.substring("formatted", F.lit(1), start).alias("context"),
-        F.substring("formatted", start + 1, length + len(END)).alias("target"),
+        F.substring("formatted", F.lit(1), F.col("s.start").cast("int")).alias("context"),
+        F.concat("s.text", F.lit(END)).alias("target"),
     )
 
 

@@ -59,3 +59,13 @@ def test_query(spark):
     assert got[-1]["turns_sha256"] == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
     assert got[-1]["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
     assert format_chats(chats(spark)[1].limit(0)).count() == 0
+
+
+def test_very_long_and_many_turns(spark):
+    rows = [(1, 0, "user", "<" * 500_000, "")] + [(1, i, "assistant" if i % 2 else "user", f"turn [{i}] " * 20, "") for i in range(1, 1500)] + [(1, 1500, "assistant", "[é" * 400_000, "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = expand(format_chats(df)).select("example_no", "target", "context_chars").orderBy("example_no").collect()
+    said = [t for _, _, role, t, _ in rows if role == "assistant"]
+    back = [r["u"] for r in spark.createDataFrame([(r["target"],) for r in got], "t string").select(unescape(F.col("t")).alias("u")).collect()]
+    assert sorted(back) == sorted(t + END for t in said)
+    assert [r["context_chars"] for r in got] == sorted(r["context_chars"] for r in got) and got[0]["context_chars"] > 4 * 500_000
