@@ -1,9 +1,10 @@
 """Finding a few rows of a table by id without moving the table.
 
-A sieve is a one-hash Bloom filter over 64-bit ids: 16 bits an id, ``2**16`` bits at
-least and ``2**28`` (32 MB) at most, whatever the number of ids, so it can be
+A sieve is a Bloom filter of two hashes over 64-bit ids: 8 to 16 bits an id, ``2**16``
+bits at least and ``2**30`` (128 MB) at most, whatever the number of ids, so it can be
 broadcast.  A row that misses it is surely not among the ids; the few that hit it
-are joined exactly.
+(one in twenty at 8 bits) are joined exactly.  Beyond some 134 million ids more rows
+hit it, and the joins move them, too; results stay exact.
 """
 
 from __future__ import annotations
@@ -17,24 +18,26 @@ from pyspark.sql import functions as F
 from .words import mix
 
 
-def _bits_of(ids: pa.Array, bits: int) -> np.ndarray:
+def _bits_of(ids: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each id."""
     if isinstance(ids, pa.ChunkedArray):
         ids = ids.combine_chunks()
-    return mix(ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64).copy()) & np.uint64(bits - 1)
+    h = mix(ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64).copy())
+    return h & np.uint64(bits - 1), (h >> np.uint64(34)) & np.uint64(bits - 1)
 
 
 class Sieve:
     """Null ids never pass."""
 
-    def __init__(self, ids: DataFrame, column: str, least: int = 16, most: int = 28):
+    def __init__(self, ids: DataFrame, column: str, least: int = 16, most: int = 30):
         rows = ids.where(F.col(column).isNotNull()).select(F.col(column).cast("long").alias("id"))
         n = rows.count()
         self.empty = not n
-        bits = 1 << min(most, max(least, (16 * n).bit_length()))
+        bits = 1 << min(most, max(least, (8 * n).bit_length()))
 
         def mark(batches):
             for batch in batches:
-                at = _bits_of(batch.column(0), bits)
+                at = np.concatenate(_bits_of(batch.column(0), bits))
                 words, where = np.unique(at >> np.uint64(6), return_inverse=True)
                 value = np.zeros(len(words), dtype=np.uint64)
                 np.bitwise_or.at(value, where, np.uint64(1) << (at & np.uint64(63)))
@@ -46,8 +49,9 @@ class Sieve:
         self.bits, self._shared = bits, ids.sparkSession.sparkContext.broadcast(words)
 
     def passes(self, ids: pa.Array) -> pa.Array:
-        at = _bits_of(ids, self.bits)
-        hit = (self._shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
+        words, hit = self._shared.value, np.uint64(1)
+        for at in _bits_of(ids, self.bits):
+            hit = hit & (words[at >> np.uint64(6)] >> (at & np.uint64(63)))
         return pa.array(hit.astype(bool) & np.asarray(ids.is_valid()))
 
 
@@ -63,7 +67,6 @@ def split(docs: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, Data
 
         return run
 
-
     return docs.mapInArrow(part(True), docs.schema), docs.mapInArrow(part(False), docs.schema)
 
 

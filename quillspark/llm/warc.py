@@ -14,10 +14,13 @@ range; the last one may end beyond it.  From the first member on the next starts
 where the last ended.
 
 Defined cases: a null page is an empty payload, a null url leaves out the target,
-a null id is written as ``null`` and read back as null.  Pages with equal payload
-and the largest id twice are both responses.  Texts of any length are written
-whole; a record must fit in a task's memory.  Empty tables give no file and an
-empty result; other columns are ignored.
+a null id is written as ``null`` and read back as null.  Repeated rows are records of
+their own: with the largest id twice both are responses, other repeats revisits.
+Texts of any length are written whole; a record must fit in a task's memory.  Empty
+tables give no file and an empty result; other columns are ignored.  A payload that
+itself holds a gzip member of a WARC record, in an archive whose members are stored
+and not compressed, is taken for a record if a range begins inside it; UTF-8 text
+can't hold the magic, so pages never do.
 """
 
 from __future__ import annotations

@@ -53,3 +53,15 @@ def test_least_payload_and_empty_table(spark, tmp_path):
 def test_member_with_two_records():
     a = record(1, "u", b"x", base32_sha1(b"x"), None, False, "d")
     assert [h["warc-record-id"] for h, _ in parse_records(a + a)] == ["<urn:quillspark:page:1>"] * 2
+
+
+def test_repeated_rows_and_hot_payload(spark, tmp_path):
+    rows = [(7, "u", "same", "")] * 3 + [(i, "u", "same", "") for i in range(200)] + [(500, "v", "other", "")] * 2 + [(501, None, None, None)] * 2
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = read_warc(write_warc(df, f"file://{tmp_path}/r")).select(page_number("record_id").alias("p"), "record_type", page_number("refers_to").alias("to")).collect()
+    assert len(got) == len(rows)
+    kinds = {}
+    for r in got:
+        kinds.setdefault(r["p"], []).append((r["record_type"], r["to"]))
+    assert kinds[199] == [("response", None)] and kinds[7] == [("revisit", 199)] * 4
+    assert kinds[500] == [("response", None)] * 2 and kinds[501] == [("response", None)] * 2
