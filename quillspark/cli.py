@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import base64
+import hmac
+import json
 import sys
+import time
+import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +61,10 @@ def parser() -> argparse.ArgumentParser:
     c = add("serve", form=None)
     c.add_argument("--port", type=int, default=8080)
     c.add_argument("--api-key")
+    c.add_argument("--basic-auth", metavar="USER:PASSWORD")
+    c.add_argument("--rate-limit", type=int, metavar="N", help="requests a second from one address")
+    c.add_argument("--timeout", type=float, metavar="SECONDS", help="a statement that takes longer is cancelled")
+    c.add_argument("--tls", nargs=2, metavar=("CERTIFICATE", "KEY"))
     return p
 
 
@@ -80,17 +89,71 @@ def repl(store: DocumentStore, form: str, write_back: bool, lines=None, out=sys.
                 print(f"error: {str(e).splitlines()[0]}", file=out)
 
 
-def serve(store: DocumentStore, port: int, api_key: str | None):
+class RateLimit:
+    """At most ``n`` requests of one address in any second by the clock; what is remembered is bounded."""
+
+    def __init__(self, n: int, now=time.monotonic):
+        self.n, self.now, self.second, self.seen = n, now, None, {}
+
+    def allows(self, address: str) -> bool:
+        second = int(self.now())
+        if second != self.second:
+            self.second, self.seen = second, {}
+        self.seen[address] = self.seen.get(address, 0) + 1
+        return self.seen[address] <= self.n
+
+
+def _admitted(headers, api_key: str | None, basic: str | None) -> bool:
+    """Either credential will do where both are set."""
+    same = lambda a, b: hmac.compare_digest(a.encode(), b.encode())
+    given = headers.get("Authorization", "")
+    if api_key and (same(headers.get("X-Api-Key", ""), api_key) or same(given, f"Bearer {api_key}")):
+        return True
+    if basic and same(given, "Basic " + base64.b64encode(basic.encode()).decode()):
+        return True
+    return not (api_key or basic)
+
+
+def serve(store: DocumentStore, port: int, api_key: str | None, basic_auth: str | None = None, rate_limit: int | None = None, timeout: float | None = None, tls: tuple[str, str] | None = None):
     """POST /sql and /mq (the text as body), GET /health; JSON answers."""
-    import hmac
+    from concurrent.futures import ThreadPoolExecutor
+    from concurrent.futures import TimeoutError as Late
     from http.server import BaseHTTPRequestHandler, HTTPServer
 
+    limit = RateLimit(rate_limit) if rate_limit else None
+    pool = ThreadPoolExecutor(1) if timeout else None
+    context = store.spark.sparkContext
+
+    def answer(path: str, text: str) -> str:
+        return render(store.sql(text) if path == "/sql" else selector.run(store.blocks(), text).orderBy("document_id", "ord"), "json")
+
+    def in_time(path: str, text: str) -> str:
+        if pool is None:
+            return answer(path, text)
+        tag = f"quillspark-{uuid.uuid4().hex}"
+
+        def run() -> str:
+            context.addJobTag(tag)
+            try:
+                return answer(path, text)
+            finally:
+                context.removeJobTag(tag)
+
+        job = pool.submit(run)
+        try:
+            return job.result(timeout)
+        except Late:
+            context.cancelJobsWithTag(tag)
+            raise
+
     class Handler(BaseHTTPRequestHandler):
-        def _send(self, code: int, body: str) -> None:
+        def _send(self, code: int, body: str, **headers: str) -> None:
             data = body.encode()
             self.send_response(code)
             self.send_header("Content-Type", "application/json")
             self.send_header("Content-Length", str(len(data)))
+            for k, v in headers.items():
+                self.send_header(k.replace("_", "-"), v)
             self.end_headers()
             self.wfile.write(data)
 
@@ -98,24 +161,31 @@ def serve(store: DocumentStore, port: int, api_key: str | None):
             self._send(200, '{"status": "ok"}') if self.path == "/health" else self._send(404, "{}")
 
         def do_POST(self):
-            if api_key and not hmac.compare_digest(self.headers.get("X-Api-Key", ""), api_key):
-                return self._send(401, '{"error": "unauthorized"}')
+            if limit and not limit.allows(self.client_address[0]):
+                return self._send(429, '{"error": "too many requests"}', Retry_After="1")
+            if not _admitted(self.headers, api_key, basic_auth):
+                return self._send(401, '{"error": "unauthorized"}', **({"WWW_Authenticate": 'Basic realm="quillspark"'} if basic_auth else {}))
             text = self.rfile.read(int(self.headers.get("Content-Length", 0))).decode()
-            try:
-                if self.path == "/sql":
-                    return self._send(200, render(store.sql(text), "json"))
-                if self.path == "/mq":
-                    return self._send(200, render(selector.run(store.blocks(), text).orderBy("document_id", "ord"), "json"))
+            if self.path not in ("/sql", "/mq"):
                 return self._send(404, "{}")
+            try:
+                return self._send(200, in_time(self.path, text))
+            except Late:
+                return self._send(408, '{"error": "timed out"}')
             except Exception as e:
-                import json
-
-                return self._send(400, json.dumps({"error": str(e).splitlines()[0]}))
+                return self._send(400, json.dumps({"error": str(e).splitlines()[0] if str(e) else type(e).__name__}))
 
         def log_message(self, *a):
             pass
 
-    return HTTPServer(("127.0.0.1", port), Handler)
+    server = HTTPServer(("127.0.0.1", port), Handler)
+    if tls:
+        import ssl
+
+        secure = ssl.SSLContext(ssl.PROTOCOL_TLS_SERVER)
+        secure.load_cert_chain(*tls)
+        server.socket = secure.wrap_socket(server.socket, server_side=True)
+    return server
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -159,7 +229,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "show":
         print(render(store.blocks().where(F.col("document_id") == a.document).orderBy("ord").select("pre", "post", "block_type", "depth", "lang", "content"), a.format), end="")
     elif a.command == "serve":
-        serve(store, a.port, a.api_key).serve_forever()
+        serve(store, a.port, a.api_key, a.basic_auth, a.rate_limit, a.timeout, a.tls).serve_forever()
     return 0
 
 

@@ -1,3 +1,4 @@
+import base64
 import json
 import threading
 import urllib.error
@@ -70,6 +71,43 @@ def test_server(spark, saved):
     server.shutdown()
 
 
+def test_server_guards(spark, saved):
+    assert [limit.allows(a) for limit in [cli.RateLimit(2, lambda: 5.5)] for a in "xxxy"] == [True, True, False, True]
+    at = iter([0.1, 0.2, 1.0])
+    limit = cli.RateLimit(1, lambda: next(at))
+    assert [limit.allows("x") for _ in range(3)] == [True, False, True]
+    store = DocumentStore.open(spark, str(saved / "store"))
+    server = cli.serve(store, 0, "key", "me:secret", rate_limit=1000, timeout=60)
+    slow = cli.serve(store, 0, None, timeout=0.05)
+    for s in (server, slow):
+        threading.Thread(target=s.serve_forever, daemon=True).start()
+
+    def ask(s, headers, path="/sql", body="SELECT count(*) AS n FROM blocks"):
+        try:
+            return urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{s.server_port}{path}", body.encode(), headers)).status
+        except urllib.error.HTTPError as e:
+            return e.code
+
+    token = base64.b64encode(b"me:secret").decode()
+    assert ask(server, {"Authorization": f"Basic {token}"}) == 200 == ask(server, {"Authorization": "Bearer key"}) == ask(server, {"X-Api-Key": "key"})
+    assert ask(server, {}) == 401 == ask(server, {"Authorization": "Basic bad"}) == ask(server, {"Authorization": "Bearer bad"})
+    assert ask(server, {"X-Api-Key": "key"}, "/else") == 404
+    assert ask(slow, {}) == 408
+    for s in (server, slow):
+        s.shutdown()
+
+
+def test_repl_write_back_is_saved(spark, tmp_path, monkeypatch):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.md").write_text("# Old\n")
+    where = str(tmp_path / "store")
+    assert cli.main(["index", where, str(tmp_path / "src")]) == 0
+    monkeypatch.setattr("sys.stdin", StringIO("UPDATE blocks SET content = 'New' WHERE depth = 1\n.quit\n"))
+    assert cli.main(["repl", where, "--write-back"]) == 0
+    assert (tmp_path / "src" / "a.md").read_text() == "# New\n"
+    assert [r["title"] for r in DocumentStore.open(spark, where).documents().collect()] == ["New"]
+
+
 def test_streaming_index(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
