@@ -68,6 +68,29 @@ def read_csv_roundtrip(spark, d):
     return sources.read_csv(spark, path).select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_name", "p_brand", "p_size", "p_retailprice")
 
 
+@register(
+    "read_csv_quoted",
+    """SELECT c_custkey, 'He said "' || c_name || '",' || chr(10) || 'then left' AS said, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS segment FROM customer""",
+)
+def read_csv_quoted(spark, d):
+    """Quotes, separators and newlines inside fields; short rows."""
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    c = table(spark, d, "customer")
+    said = F.concat(F.lit('"He said ""'), "c_name", F.lit('"",\nthen left"'))
+    line = F.concat(F.col("c_custkey").cast("string"), F.lit(","), said, F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.concat(F.lit(","), "c_mktsegment")))
+    header = spark.createDataFrame([(-1, "c_custkey,said,segment")], "k long, value string")
+    c.select(F.col("c_custkey").cast("long").alias("k"), line.alias("value")).unionByName(header).repartition(1).sortWithinPartitions("k").select("value").write.text(path)
+    return sources.read_csv(spark, path).select(F.col("c_custkey").cast("long").alias("c_custkey"), "said", "segment")
+
+
+@register("csv_function_sql", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")
+def csv_function_sql(spark, d):
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    table(spark, d, "nation").write.csv(path, header=True, quote='"', escape='"')
+    s = st.DocumentStore(spark)
+    return s.sql(f"SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, count(*) AS n FROM read_csv('{path}') GROUP BY n_regionkey")
+
+
 @register("read_json_roundtrip", "SELECT event_id, event_type, value, props FROM events")
 def read_json_roundtrip(spark, d):
     path = f"{shared_dir(spark)}/json-{uuid.uuid4().hex}"
@@ -135,6 +158,17 @@ def store_save_open(spark, d):
     return _here(spark, st.DocumentStore.open(spark, path).stats().where("kind = 'type'").select(F.col("name").alias("block_type"), "n"))
 
 
+@register("under_heading_store", _CONV_TEXT + ", h AS (SELECT document_id, ord, pre, post FROM conv_blocks WHERE depth = 1) SELECT b.document_id AS conv, b.ord FROM conv_blocks b JOIN h ON b.document_id = h.document_id AND h.pre < b.pre AND b.post < h.post WHERE b.document_id % 2 = 0 AND b.block_type = 'paragraph'")
+def under_heading_store(spark, d):
+    """The builder, a heading text that every document has: the title, made the same in all."""
+    s = st.DocumentStore(spark)
+    texts = _conversation_markdown(spark, d).select("path", F.regexp_replace("text", "^# Conversation [0-9]+", "# Talk").alias("text"))
+    s.add_table(texts)
+    found = s.query().documents("title = 'Talk'").under_heading("Talk", 1).block_type("paragraph").blocks()
+    conv = s.texts().select(F.col("id").alias("document_id"), F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("conv"))
+    return _here(spark, found.join(conv, "document_id").where("conv % 2 = 0").select("conv", "ord"))
+
+
 @register("writeback_plan", _CONV_TEXT + " SELECT document_id, 'conv/' || document_id || '.md' AS path, 2 * ord - 1 AS start_line, 2 * ord - 1 AS end_line, '## New ' || trim(replace(content, chr(10), ' ')) AS new_source FROM conv_blocks WHERE depth = 2")
 def writeback_plan(spark, d):
     """The line edits that UPDATE blocks SET content = concat('New ', content) WHERE depth = 2 would make."""
