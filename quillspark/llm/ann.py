@@ -95,7 +95,7 @@ class Top:
 
     def __init__(self, sample: np.ndarray, total: int, max_cells: int):
         self.x = sample.astype(np.float32)
-        wanted = max(1, min(max_cells, int(2 * math.sqrt(max(total, 1)))))
+        wanted = max(1, min(max_cells, math.isqrt(total)))
         self.centroids = kmeans(self.x, max(1, min(TOP, wanted, len(self.x) // PER_CELL)))
         near, _ = _closest(self.x, self.centroids)
         self.rows = np.bincount(near, minlength=len(self.centroids)) * (total / len(self.x))
