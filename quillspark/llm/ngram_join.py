@@ -223,27 +223,30 @@ def possible_forest(sizes: np.ndarray, sketches: np.ndarray, threshold: int, spl
     of near copies costs about its size, and only sets that are apart cost pairs.
     """
     n = len(sizes)
-    left = np.ones(n, dtype=bool)
-    side = np.zeros(n, dtype=bool) if split is None else np.arange(n) >= split
+    # what is not reached yet, in order, on each side; without a split there is one side
+    pools = [[np.arange(a, b), sizes[a:b], sketches[a:b]] for a, b in ([(0, n)] if split is None else [(0, split), (split, n)])]
+    side = lambda u: 0 if split is None else int(u >= split)
     edges: list[tuple[int, int]] = []
     for root in range(n):
-        if not left[root]:
-            continue
-        left[root] = False
+        own = pools[side(root)]
+        if not len(own[0]) or own[0][0] != root:
+            continue  # reached from an earlier one
+        own[:] = [x[1:] for x in own]
         queue = [root]
         while queue:
             now, queue = queue, []
             for u in now:
-                rest = np.flatnonzero(left & (side != side[u])) if split is not None else np.flatnonzero(left)
-                if not len(rest):
+                pool = pools[0 if split is None else 1 - side(u)]
+                if not len(pool[0]):
                     continue
-                most = (100 - threshold) * (sizes[u] + sizes[rest]) // (100 + threshold)
-                rest, most = (x[np.abs(sizes[rest] - sizes[u]) <= most] for x in (rest, most))
-                apart = np.bitwise_count(sketches[rest] ^ sketches[u]).sum(axis=1, dtype=np.int64)
-                hits = rest[apart <= most]
-                left[hits] = False
-                edges += [(u, v) for v in hits.tolist()]
-                queue += hits.tolist()
+                most = (100 - threshold) * (sizes[u] + pool[1]) // (100 + threshold)
+                near = np.bitwise_count(pool[2] ^ sketches[u]).sum(axis=1, dtype=np.int64) <= most
+                near &= np.abs(pool[1] - sizes[u]) <= most
+                if near.any():
+                    hits = pool[0][near].tolist()
+                    pool[:] = [x[~near] for x in pool]
+                    edges += [(u, v) for v in hits]
+                    queue += hits
     return edges
 
 
