@@ -4,7 +4,8 @@ A page is a sequence in which words score positive and tags negative; one linear
 scan finds the contiguous run with the greatest sum.  Scores come from labelled
 pages.  The pages also show which elements (by tag name, class, id or role) hold
 no article text; such an element enters the sequence as one tag, and its words
-are not part of it, wherever it stands.  Where a single article or main element has
+are not part of it, wherever it stands.  Words of links have a score of their own in
+blocks that are links for the greater part; elsewhere they are words as any other.  Where a single article or main element has
 at least half of the words, so does the text beside it, but for h1 and p elements
 before it.  Otherwise all text competes.  The text is the words of the best run.
 
@@ -47,7 +48,7 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr img".split())
+_INLINE = frozenset("a a-text abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr img".split())
 _SHELL = frozenset(["html", "body", "article", "main"])
 _WORD = re.compile(r"\S+")
 
@@ -58,10 +59,10 @@ class Scores:
     def __init__(self, boxes: frozenset, tags: dict[str, float], word: float, link: float, other: float, framed: bool):
         self.boxes, self.tags, self.word, self.link, self.other, self.framed = boxes, tags, word, link, other, framed
 
-    def of(self, tag: str, text: str, link: bool) -> float:
-        """The score of one token of a page."""
+    def of(self, tag: str, text: str, link: bool, frame: int) -> float:
+        """The score of one token of a page; tags have scores of their own inside article and main elements."""
         if tag:
-            return self.tags.get(tag, -0.01 if tag.lstrip("/") in _INLINE else self.other)
+            return self.tags.get("in " + tag if frame else tag, -0.01 if frame or tag.lstrip("/") in _INLINE else self.other)
         return len(text.split()) * (self.link if link else self.word)
 
 
@@ -172,10 +173,14 @@ class _Stack:
 def sequence(page: str, boxes: frozenset):
     """(tag or '', text or '', inside a link, number of the outermost article or main element around it or 0) for each token; boxes are one tag each."""
     stack, box, frame = _Stack(), None, 0
+
+    def around() -> int:
+        return frame if stack.open["article"] or stack.open["main"] else 0
+
     for kind, name, extra, at in scan(page):
         if kind == "text":
             if box is None:
-                yield "", extra, bool(stack.open["a"]), frame if stack.open["article"] or stack.open["main"] else 0
+                yield "", extra, bool(stack.open["a"]), around()
             continue
         if kind == "open":
             if box is not None and name in ("article", "main") and page.find("</" + stack.names[box], at) < 0:
@@ -196,13 +201,34 @@ def sequence(page: str, boxes: frozenset):
                     if name not in _VOID:
                         box = depth
                 else:
-                    yield name, "", False, 0
+                    yield name, "", False, around()
         else:
             stack.pop(name)
             if box is not None and len(stack.names) <= box:
                 box = None
             elif box is None:
-                yield "/" + name, "", False, 0
+                yield "/" + name, "", False, around()
+
+
+def _linked(tokens: list) -> list:
+    """Links count as such only in blocks most of whose words are links; a link in a sentence is text, its tags are ``a-text``."""
+    out, begin, plain, linked = list(tokens), 0, 0, 0
+
+    def settle(end: int) -> None:
+        if linked and plain > linked:
+            for i in range(begin, end):
+                tag, text, _, frame = out[i]
+                out[i] = (tag + "-text" if tag in ("a", "/a") else tag, text, False, frame)
+
+    for i, (tag, text, link, _) in enumerate(tokens):
+        if tag and tag.lstrip("/") not in _INLINE:
+            settle(i)
+            begin, plain, linked = i + 1, 0, 0
+        elif not tag:
+            n = len(text.split())
+            plain, linked = plain + n * (not link), linked + n * link
+    settle(len(tokens))
+    return out
 
 
 def _framed(tokens: list) -> bool:
@@ -216,13 +242,19 @@ def _framed(tokens: list) -> bool:
 
 
 def _without_beside(tokens: list) -> list:
-    """Text beside the frame becomes a tag, but for headings and paragraphs before it (a title, a lead): these compete."""
-    first = next(i for i, t in enumerate(tokens) if t[3] and t[1].strip())
+    """Text beside the frame becomes a tag, but for headings and paragraphs before it (a title, a lead): these compete.  Links in the frame are text."""
+    inside = [i for i, t in enumerate(tokens) if t[3] and t[1].strip()]
+    first, last = inside[0], inside[-1]
+    link = next((i for i in range(first - 1, -1, -1) if tokens[i][1].strip() or tokens[i][0] in ("/a", "article", "main")), -1) + 1
     out, block = [], ""
     for i, t in enumerate(tokens):
         if t[0]:
             if t[0].lstrip("/") not in _INLINE:
                 block = t[0]
+            elif t[0] in ("a", "/a") and link <= i <= last + 1:
+                t = (t[0] + "-text", "", False, t[3])
+        elif t[3]:
+            t = ("", t[1], False, t[3])
         elif not t[3] and t[1].strip() and not (i < first and block in ("h1", "p") and not t[2]):
             t = ("box-out", "", False, 0)
         out.append(t)
@@ -240,6 +272,7 @@ def fit(pages: list[Page], share: float = 0.02, support: int = 3) -> Scores:
     An element feature marks a box when at most ``share`` of the words seen in
     such elements are article text.  A word scores the log odds of being article
     text among words outside boxes, a tag the log odds of lying inside the article.
+    The words' score is then scaled to what tells most pages right.
     """
     seen: dict[str, list[int]] = {}
     for page in pages:
@@ -275,22 +308,37 @@ def fit(pages: list[Page], share: float = 0.02, support: int = 3) -> Scores:
                 starts.append(at)
             at += len(fragment)
         article = {" ".join(f.split()) for f, kind in page if kind is True}
-        tokens = list(sequence(source, boxes))
+        tokens = _linked(list(sequence(source, boxes)))
         framed = _framed(tokens)
         hits = [i for i, (_, text, _l, _w) in enumerate(tokens) if text and " ".join(text.split()) in article]
         first, last = (hits[0], hits[-1]) if hits else (0, -1)
+        # the tags of the first and last text's own elements are the article's, too, and all in its frame
+        first -= bool(hits and first and re.fullmatch(r"[a-z]\w*", tokens[first - 1][0]))
+        last += bool(hits and last + 1 < len(tokens) and tokens[last + 1][0].startswith("/"))
+        if framed and hits:
+            frame = [i for i, t in enumerate(tokens) if t[3]]
+            first, last = min(first, frame[0]), max(last, frame[-1])
         for i, (tag, text, link, within) in enumerate(tokens):
             if framed and text.split() and not within:
                 beside[" ".join(text.split()) in article] += len(text.split())
             if tag:
-                (inside if first <= i <= last else outside)[tag] += 1
+                (inside if first <= i <= last else outside)["in " + tag if within else tag] += 1
             elif text.split():
                 words[link][" ".join(text.split()) in article] += len(text.split())
     odds = lambda a, b: math.log((a + 0.5) / (b + 0.5))
     tags = {t: min(-0.01, odds(inside[t], outside[t])) for t in {*inside, *outside}}
-    for t in ("article", "/article", "main", "/main", "box-in"):  # the frame of an article never costs more than a word
+    for t in ("article", "/article", "main", "/main", "in article", "in /article", "in main", "in /main", "box-in"):  # the frame of an article never costs more than a word
         tags[t] = max(tags.get(t, -0.01), -0.01)
-    return Scores(boxes, tags, max(0.05, odds(words[False][1], words[False][0])), max(0.05, odds(words[True][1], words[True][0])), -0.5, beside[1] <= share * sum(beside))
+    found = Scores(boxes, tags, max(0.05, odds(words[False][1], words[False][0])), max(0.05, odds(words[True][1], words[True][0])), -0.5, beside[1] <= share * sum(beside))
+    # words of one text are no independent witnesses: their odds count by the part that tells most of the pages right
+    some = [("".join(f for f, _ in page), " ".join(f for f, kind in page if kind).split()) for page in pages[:: max(1, len(pages) // 300)]]
+    word, best = found.word, -1
+    for part in (1.0, 0.5, 0.25, 0.12, 0.06):
+        found.word = word * part
+        right = sum(extract_text(source, found).split() == text for source, text in some)
+        best, chosen = (right, part) if right > best else (best, chosen)
+    found.word = word * chosen
+    return found
 
 
 def best_run(values: list[float]) -> tuple[int, int]:
@@ -310,10 +358,10 @@ def extract_text(page: str | None, scores: Scores | None = None) -> str:
     if not page:
         return ""
     scores = scores or default_scores()
-    tokens = list(sequence(page, scores.boxes))
+    tokens = _linked(list(sequence(page, scores.boxes)))
     if scores.framed and _framed(tokens):
         tokens = _without_beside(tokens)
-    first, end = best_run([scores.of(tag, text, link) for tag, text, link, _ in tokens])
+    first, end = best_run([scores.of(*t) for t in tokens])
     blocks, now = [], []
     for tag, text, _, _ in tokens[first:end]:
         if not tag:

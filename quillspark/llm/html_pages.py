@@ -60,7 +60,7 @@ def _box(rng: random.Random) -> Page:
     elif tag == "div" and rng.random() < 0.1:
         attr = rng.choice([" hidden", ' aria-hidden="true"', ' style="display:none"', ' class="x" hidden'])
     out: Page = [(f"<{tag}{attr}>", None)]
-    style = rng.randrange(4)
+    style = rng.randrange(4) if tag not in ("p", "span") else 3  # a paragraph holds no blocks: the first would end it
     if style == 0:
         for _ in range(rng.randint(2, 8)):
             out += [('<li><a href="#">', None), (_words(rng, rng.randint(1, 3)), False), ("</a></li>", None)]
@@ -80,7 +80,7 @@ def _article(rng: random.Random) -> Page:
     if rng.random() < 0.8:
         out += [('<div class="article-header">' if rng.random() < 0.1 else "", None), ("<h1>", None), (_words(rng, rng.randint(2, 9)), True), ("</h1>", None)]
     for _ in range(rng.randint(1, 12)):
-        kind = rng.randrange(12)
+        kind = rng.randrange(13)
         if kind < 7:
             out += [("<p>", None), (_words(rng, rng.randint(1, 60)), True)]
             if rng.random() < 0.3:
@@ -97,13 +97,23 @@ def _article(rng: random.Random) -> Page:
             out += [("<blockquote>", None), (_words(rng, 14), True), ("</blockquote>", None)]
         elif kind == 10:
             out += [("<table><tr><td>", None), (_words(rng, 2), True), ("</td><td>", None), (_words(rng, 2), True), ("</td></tr></table>", None)]
-        elif rng.random() < 0.5:
+        elif kind == 11 and rng.random() < 0.5:
             out += _box(rng)
+        elif kind == 12:
+            out += [(rng.choice(["<div>", "<div>", '<div class="row">', "<section>"]), None), ("<p>", None), (_words(rng, rng.randint(3, 40)), True), ("</p>", None), ("</div>", None)]
+            if out[-5][0] == "<section>":
+                out[-1] = ("</section>", None)
         else:
             out += [("<pre><code>", None), (_words(rng, 8), True), ("</code></pre>", None)]
     return out + [(f"</{tag}>", None)]
 
 
+def _line(rng: random.Random) -> Page:
+    """A short line of text that no name tells (a date, rights, a slogan)."""
+    tag = rng.choice(["div", "div", "div", "section"])
+    return [(f"<{tag}>", None), (_words(rng, rng.randint(1, 6)), False), (f"</{tag}>", None)]
+
+
 def labelled_pages(n: int = 1500, seed: int = 11) -> list[Page]:
     rng = random.Random(seed)
     pages = []
@@ -113,7 +123,11 @@ def labelled_pages(n: int = 1500, seed: int = 11) -> list[Page]:
             page += _box(rng)
         if rng.random() < 0.3:  # a stray line that no box names
             page += [("<div><a>", None), (_words(rng, 2), False), ("</a></div>", None)]
+        if rng.random() < 0.3:
+            page += _line(rng)
         page += _article(rng)
+        if rng.random() < 0.4:
+            page += _line(rng)
         if rng.random() < 0.2:
             page += [("<div><a>", None), (_words(rng, 2), False), ("</a></div>", None)]
         for _ in range(rng.randint(1, 4)):
