@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import io
 import os
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import intervals as iv
 from ..operators import navigation as nav
-from ..operators.store import DocumentStore
+from ..operators.recursive import RecursionLimit, fixed_point
 from ..operators.shared import shared_dir
+from ..operators.store import DocumentStore
 from ..plans.query import Query
 from ..sources import files as sources
 from ..sources import render
@@ -117,6 +120,16 @@ def nav_descendants(spark, d):
     return _by_path(s, nav.descendants_of(s.blocks(), head["document_id"], head["pre"], head["post"])).select("k", "ord")
 
 
+@register("nav_is_under", MARKET + " SELECT k, CASE WHEN s = 3 THEN 'Customers' ELSE 'Suppliers' END AS section, count(*) AS n, count(*) FILTER (lang = 'sql') AS with_language FROM m WHERE s = 3 OR s > 4 GROUP BY 1, 2")
+def nav_is_under(spark, d):
+    """Blocks under each level-2 heading, by the column helpers."""
+    s = _market(spark, d)
+    b = _by_path(s, s.blocks())
+    heads = b.where(iv.heading_depth() == 2).alias("h")
+    pairs = heads.join(b.withColumn("language", iv.code_lang()).alias("x"), iv.is_under("x.", "h."))
+    return pairs.groupBy(F.col("h.k").alias("k"), F.col("h.content").alias("section")).agg(F.count(F.lit(1)).alias("n"), F.count("x.language").alias("with_language"))
+
+
 # -- statements
 
 
@@ -164,10 +177,10 @@ def stmt_attach_detach(spark, d):
 
 @register(
     "sql_zone_skip_heading",
-    MARKET + " SELECT k, ord, content, (SELECT count(*) - 1 FROM n) AS skipped FROM m WHERE block_type = 'heading' AND content = 'FRANCE'",
+    MARKET + " SELECT k, ord, content, (SELECT count(*) - 1 FROM n) AS skipped FROM m WHERE block_type = 'heading' AND content = 'NATION_7'",
 )
 def sql_zone_skip_heading(spark, d):
-    return _skipping(spark, d, "block_type = 'heading' AND content = 'FRANCE'")
+    return _skipping(spark, d, "block_type = 'heading' AND content = 'NATION_7'")
 
 
 @register("sql_zone_skip_language", MARKET + " SELECT k, ord, content, 0::BIGINT AS skipped FROM m WHERE lang = 'sql'")
@@ -195,10 +208,10 @@ def _skipping(spark, d, where: str):
     return _by_path(s, found).select("k", "ord", "content", F.lit(skipped).cast("long").alias("skipped"))
 
 
-@register("stmt_explain", MARKET + " SELECT (SELECT count(*) FROM m WHERE content = 'FRANCE')::VARCHAR AS rows_out, (SELECT count(*) FROM m WHERE k = (SELECT k FROM n WHERE nm = 'FRANCE'))::VARCHAR AS candidates, true AS semi_join, 1::BIGINT AS skips")
+@register("stmt_explain", MARKET + " SELECT (SELECT count(*) FROM m WHERE content = 'NATION_7')::VARCHAR AS rows_out, (SELECT count(*) FROM m WHERE k = (SELECT k FROM n WHERE nm = 'NATION_7'))::VARCHAR AS candidates, true AS semi_join, 1::BIGINT AS skips")
 def stmt_explain(spark, d):
     s = _market(spark, d)
-    rows = [tuple(r) for r in s.sql("EXPLAIN ANALYZE SELECT content FROM blocks WHERE block_type = 'heading' AND content = 'FRANCE'").collect()]
+    rows = [tuple(r) for r in s.sql("EXPLAIN ANALYZE SELECT content FROM blocks WHERE block_type = 'heading' AND content = 'NATION_7'").collect()]
     told = dict(rows)
     return s.spark.createDataFrame([(told["rows"], told["candidate rows"], any("LeftSemi" in t for k, t in rows if k == "plan"), sum(k == "skip" for k, _ in rows))], "rows_out string, candidates string, semi_join boolean, skips long")
 
@@ -213,6 +226,63 @@ def stmt_vacuum_refused(spark, d):
     return s.spark.createDataFrame([(False,)], "refused boolean")
 
 
+_REFUSED = {
+    "column outside the grouping": "SELECT n_name, count(*) FROM nation",
+    "unknown function": "SELECT no_such_function(n_name) FROM nation",
+    "unknown column": "SELECT nothing FROM nation",
+    "unknown table": "SELECT * FROM nowhere",
+    "anchor that refers to itself": "WITH RECURSIVE r(i) AS (SELECT i FROM r UNION SELECT 1) SELECT i FROM r",
+    "columns of the recursive part": "WITH RECURSIVE r(i) AS (SELECT 1 UNION SELECT i, i FROM r) SELECT i FROM r",
+    "table that exists": "CREATE TABLE nation (x INT)",
+    "built-in table": "DROP TABLE blocks",
+    "view of itself": "CREATE VIEW v AS SELECT * FROM v",
+    "values too few": "INSERT INTO t VALUES (1)",
+    "statement": "GRANT ALL ON nation",
+    "attached alias": "DETACH nobody",
+}
+
+
+@register("stmt_refusals", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', true)" for k in _REFUSED) + ") t(what, refused)")
+def stmt_refusals(spark, d):
+    s = engine(spark, d, "nation")
+    s.sql("CREATE TABLE t (x INT, y INT)")
+
+    def refused(text: str) -> bool:
+        try:
+            s.sql(text).collect()
+        except Exception:
+            return True
+        return False
+
+    return s.spark.createDataFrame([(k, refused(text)) for k, text in _REFUSED.items()], "what string, refused boolean")
+
+
+@register("recursion_cap", "SELECT 'recursive query exceeded 4 iterations' AS said")
+def recursion_cap(spark, d):
+    start = table(spark, d, "nation").selectExpr("n_nationkey AS n")
+    try:
+        said = str(fixed_point(start, lambda new: new.selectExpr("n + 100 AS n"), limit=4).count())
+    except RecursionLimit as e:
+        said = str(e)
+    return spark.createDataFrame([(said,)], "said string")
+
+
+@register("repl_session", MARKET + " SELECT 'n' || chr(10) || count(*) || chr(10) || 'output' || chr(10) || '# NATION_7' || chr(10) AS told FROM m")
+def repl_session(spark, d):
+    from ..cli import repl
+
+    out = io.StringIO()
+    repl(_market(spark, d), "table", False, [".mode csv", "SELECT count(*) AS n FROM blocks", '.h1 | select(.content == "NATION_7")', ".quit", "SELECT 1"], out)
+    return spark.createDataFrame([(out.getvalue(),)], "told string")
+
+
+@register("sink_blocks_html", r"""SELECT '<h1>NATION_7</h1>' || chr(10) || '<h2>Customers</h2>' || chr(10) || '<h2>Suppliers</h2>' AS html""")
+def sink_blocks_html(spark, d):
+    s = _market(spark, d)
+    found = _by_path(s, s.query().documents("array_contains(heading_contents, 'NATION_7')").block_type("heading").blocks())
+    return s.spark.createDataFrame([(render.blocks_to_html(found.orderBy("ord").collect()),)], "html string")
+
+
 @register("mq_function", MARKET + " SELECT 'n/' || k || '.md' AS path, 'Customers' || chr(10) || 'Suppliers' AS heads, '```sql' || chr(10) || 'SELECT ''' || nm || '''' || chr(10) || '```' AS code, NULL::VARCHAR AS nothing FROM n")
 def mq_function(spark, d):
     s = DocumentStore(spark)
