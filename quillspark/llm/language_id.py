@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_prefix, table
+from .common import free_prefix, released, table
 
 LENGTH = 400
 MAX_LANGS = 10_000
@@ -121,7 +121,7 @@ def _count(batches):
 def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", length: int = LENGTH) -> dict[str, list[int]]:
     """Language -> its ``length`` most frequent n-grams, most frequent first."""
     rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(released(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
     best = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= length).select("lang", "gram", "r")
     out: dict[str, list[tuple[int, int]]] = {}
@@ -180,7 +180,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
                 [*batch.columns, *[pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]], [*batch.schema.names, lang_out, score_out, shared_out]
             )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def held_out(id_col: str = "doc_id"):

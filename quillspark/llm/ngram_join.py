@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, released, table
 from .components import connected_components
 from .sieve import Sieve, without
 from .words import chunks, mix, text_bytes, word_hashes
@@ -404,7 +404,7 @@ def _chunk_pairs(rows: DataFrame, group: str) -> DataFrame:
 
 def candidate_groups(rows: DataFrame, classes: DataFrame, k: int, threshold: int, bucket_sets: int) -> DataFrame:
     """node, component over class numbers (see ``_class_number``) of sets that may link."""
-    keys = rows.mapInArrow(_keys(k, threshold), "key long, cid long")
+    keys = rows.mapInArrow(released(_keys(k, threshold)), "key long, cid long")
     shared = materialize(keys.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(_shared(bucket_sets), "key long, cid long, chunk int"), "buckets")
     hot = shared.groupBy("key").agg((F.max("chunk") + 1).alias("cut")).where("cut > 1")
     member = shared.join(hot, "key", "left").join(classes.select("cid", "n", "sketch"), "cid").withColumn("cut", F.coalesce("cut", F.lit(1)))
@@ -421,7 +421,7 @@ def ngram_join(
     bucket's task does; larger groups and buckets are cut, not capped.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialize(rows.mapInArrow(_signatures(k), "doc_id long, n long, digest binary, sketch binary"), "signatures")
+    signed = materialize(rows.mapInArrow(released(_signatures(k)), "doc_id long, n long, digest binary, sketch binary"), "signatures")
     cid = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
     of = signed.where("n > 0").groupBy("digest").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = materialize(of.withColumn("cid", cid), "classes")
@@ -434,9 +434,9 @@ def ngram_join(
     member = materialize(member.withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("cut")).cast("int")), "members")
 
     sieve, nameless = Sieve(member, "node"), Sieve(member.where("node is null"), "cid")
-    found = rows.mapInArrow(_sets(k, sieve, nameless), "digest binary, hashes binary")
+    found = rows.mapInArrow(released(_sets(k, sieve, nameless)), "digest binary, hashes binary")
     found = found.join(member.select("digest", "size", "grp", "chunk", "cut").hint("merge"), "digest")
-    links = materialize(_chunk_pairs(found, "grp").mapInArrow(_verify(threshold), "digest binary, more long, root binary"), "links")
+    links = materialize(_chunk_pairs(found, "grp").mapInArrow(released(_verify(threshold)), "digest binary, more long, root binary"), "links")
 
     named = connected_components(links.select(F.col("digest").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "digest")
     named = materialize(named.join(classes.select("digest", "node"), "digest"), "named")

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, released, table
 
 TIERS = (1024, 512, 256, 128)
 LONG_SPACE = 1000
@@ -218,7 +218,7 @@ def pack(
             yield last
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return step_groups(materialize(rows.mapInArrow(run, PIECES), "pieces"), tiers, step_tokens)
+    return step_groups(materialize(rows.mapInArrow(released(run), PIECES), "pieces"), tiers, step_tokens)
 
 
 def step_groups(pieces: DataFrame, tiers: tuple[int, ...], step_tokens: int) -> DataFrame:

@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
 from .words import mix
 
 
@@ -67,7 +68,7 @@ def split(docs: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, Data
 
         return run
 
-    return docs.mapInArrow(part(True), docs.schema), docs.mapInArrow(part(False), docs.schema)
+    return docs.mapInArrow(released(part(True)), docs.schema), docs.mapInArrow(released(part(False)), docs.schema)
 
 
 def without(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
