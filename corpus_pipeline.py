@@ -4,7 +4,7 @@ Stages run in order; each is written as Parquet to the shared folder and read
 again as the next one's documents.  All but the last return rows of ``documents``
 with its columns; the last returns the pieces of the packed sequences.
 
-* language_id: documents without a language (no letter in the text) go.
+* language_id: documents without a language go (no letter, or hardly an n-gram of any profile).
 * exact_dedup: of equal texts the smallest id stays.
 * ngram_join: of each group of linked near duplicates the smallest id stays.
 * mixing: documents are drawn so that sources, languages and topics have their
