@@ -1,22 +1,23 @@
-"""Approximate nearest neighbours by inner product: inverted file, product
-quantised residuals, asymmetric tables, exact reranking.
+"""Approximate nearest neighbours by inner product: inverted file, exact scores
+in the probed cells.
 
 Fitting.  The number of cells grows as the square root of the rows, up to
-``max_cells``.  The first ``TOP`` centroids, residual codebooks and the number of cells
-to probe come from a sample of ``sample_rows`` vectors at most, chosen by a hash of the
-id.  Where more cells are wanted, each of these first cells is divided further, all at
+``max_cells``.  The first ``TOP`` centroids and the number of cells to probe come from a
+sample of ``sample_rows`` vectors at most, chosen by a hash of the id.  Where more cells are wanted, each of these first cells is divided further, all at
 once in tasks, each from a sample of ``PER_CELL`` vectors a cell that it is to have
 (``MOST_PARTS`` cells at most, so a task's sample is bounded, however hot its cell).  The
-probes are the fewest that find ``target`` of the exact neighbours within the
-sample, so tight clusters are searched narrowly and shapeless data widely.
+probes are the fewest that find ``target`` of the exact neighbours, within the
+sample, of ``TRIES`` of the queries themselves (they may lie elsewhere than most rows),
+so tight clusters are searched narrowly and shapeless data widely.
 
 Searching.  Every vector is indexed.  A cell is cut into sub-cells of about
 ``block_rows`` vectors (a hot cell into many), sub-cells are hashed to groups, and
 a query is sent once to each group that holds a cell it probes.  A group's task
 holds copies of a vector as one, with their ``k`` + 1 smallest ids.  It scores all
-codes of a probed sub-cell from the query's table, takes the best ``shortlist``
-distinct vectors (2 ``k`` at least, and all that tie with the last) and reranks
-them with the original vectors in double precision.
+vectors of a probed sub-cell by their distance from the centroid in single precision, and
+again in double precision those that may be among the best by the bound on its error:
+in the probed cells no neighbour is lost, however close together they lie.  (Product
+quantised codes were too coarse for that where clusters are much tighter than the rest.)
 Queries stream through a group in blocks; what a task holds is a group's vectors
 and one block.  Should a query end with fewer neighbours than asked though more
 vectors exist, it is searched again in all cells.
@@ -86,15 +87,15 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np.ndarray
     return c
 
 
-#: First cells at most, sampled vectors for each cell wanted, and cells at most that a first cell is divided into
-TOP, PER_CELL, MOST_PARTS = 256, 40, 1024
+#: First cells at most, sampled vectors for each cell wanted, cells at most that a first cell is divided into, and queries that fit the probes
+TOP, PER_CELL, MOST_PARTS, TRIES = 256, 40, 1024, 512
 
 
 class Top:
     """The first cells, from the driver's sample."""
 
-    def __init__(self, sample: np.ndarray, total: int, max_cells: int):
-        self.x = sample.astype(np.float32)
+    def __init__(self, ids: np.ndarray, sample: np.ndarray, total: int, max_cells: int):
+        self.ids, self.x = ids, sample.astype(np.float32)
         wanted = max(1, min(max_cells, math.isqrt(total)))
         self.centroids = kmeans(self.x, max(1, min(TOP, wanted, len(self.x) // PER_CELL)))
         near, _ = _closest(self.x, self.centroids)
@@ -105,13 +106,13 @@ class Top:
 
 
 class Index:
-    """Centroids, codebooks and probes; small, of bounded size.
+    """Centroids and probes; small, of bounded size.
 
     ``leaves`` are the cells, those of a first cell next to each other; ``rows`` is
     about how many vectors each will hold.
     """
 
-    def __init__(self, top: Top, total: int, k: int, target: float, leaves: list[np.ndarray] | None = None, rows: np.ndarray | None = None):
+    def __init__(self, top: Top, total: int, k: int, target: float, tries: tuple[np.ndarray, np.ndarray], leaves: list[np.ndarray] | None = None, rows: np.ndarray | None = None):
         x, self.dim, self.total = top.x, top.x.shape[1], total
         self.top = top.centroids
         groups = leaves if leaves is not None else [c[None, :] for c in top.centroids]
@@ -119,13 +120,7 @@ class Index:
         self.coarse = np.ascontiguousarray(np.concatenate(groups), dtype=np.float32)
         self.cells = len(self.coarse)
         self.rows = top.rows if rows is None else rows
-        near = self.nearest(x)
-        self.parts = next(m for m in (16, 12, 10, 8, 6, 5, 4, 3, 2, 1) if self.dim % m == 0)
-        width = self.dim // self.parts
-        rest = (x - self.coarse[near])[:8192]
-        codes = min(256, len(rest))
-        self.books = np.stack([kmeans(np.ascontiguousarray(rest[:, m * width : (m + 1) * width]), codes, 6) for m in range(self.parts)])
-        self.probes = self._fit_probes(x, near, k, target)
+        self.probes = self._fit_probes(x, top.ids, *tries, k, target)
 
     def nearest(self, x: np.ndarray) -> np.ndarray:
         """The cell of each row: the nearest in its first cell."""
@@ -140,58 +135,50 @@ class Index:
             out[rows] = self.first[c] + _closest(x[rows], self.coarse[self.first[c] : self.first[c + 1]])[0]
         return out
 
-    def _fit_probes(self, x: np.ndarray, near: np.ndarray, k: int, target: float) -> int:
-        tries = np.arange(0, len(x), max(1, len(x) // 400))
-        if len(x) <= 4 * k or self.cells == 1:
+    def _fit_probes(self, x: np.ndarray, ids: np.ndarray, tries: np.ndarray, q: np.ndarray, k: int, target: float) -> int:
+        """The fewest that find ``target`` of the neighbours among ``x`` of the queries ``q``, whose ids are ``tries``."""
+        if len(x) <= 4 * k or self.cells == 1 or not len(q):
             return self.cells
-        exact = x[tries] @ x.T
-        exact[np.arange(len(tries)), tries] = -np.inf
+        q = q.astype(np.float32)
+        exact = q @ x.T
+        exact[tries[:, None] == ids[None, :]] = -np.inf
         best = np.argpartition(-exact, k, axis=1)[:, :k]
-        order = self.order(x[tries])
+        order = self.order(q)
         place = np.empty_like(order)
-        np.put_along_axis(place, order, np.arange(self.cells)[None, :].repeat(len(tries), 0), 1)
-        found = place[np.arange(len(tries))[:, None], near[best]]
+        np.put_along_axis(place, order, np.arange(self.cells)[None, :].repeat(len(q), 0), 1)
+        found = place[np.arange(len(q))[:, None], self.nearest(x)[best]]
         return min(self.cells, int(np.quantile(found, target, method="higher")) + 1)
 
     def order(self, q: np.ndarray) -> np.ndarray:
         """Cells of each query, most promising first."""
         return np.argsort(-(q.astype(np.float32) @ self.coarse.T), axis=1, kind="stable")
 
-    def encode(self, x: np.ndarray, near: np.ndarray) -> np.ndarray:
-        width = self.dim // self.parts
-        rest = x - self.coarse[near]
-        out = np.empty((len(x), self.parts), dtype=np.uint8)
-        for m, book in enumerate(self.books):
-            part = rest[:, m * width : (m + 1) * width]
-            out[:, m] = ((book * book).sum(1)[None, :] - 2 * (part @ book.T)).argmin(1)
-        return out
-
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """Inner products of each query's parts with each code: (part, query, code)."""
-        width = self.dim // self.parts
-        return np.stack([q[:, m * width : (m + 1) * width] @ book.T for m, book in enumerate(self.books)])
-
 
-def fit(rows: DataFrame, k: int, sample_rows: int, max_cells: int, target: float) -> Index | None:
-    """Fit on bounded samples of rows (id, vec)."""
+def fit(rows: DataFrame, k: int, sample_rows: int, max_cells: int, target: float, queries: DataFrame | None = None) -> Index | None:
+    """Fit on bounded samples of rows (id, vec) and of queries, which are the rows if not given."""
     there = rows.where(F.col("vec").isNotNull() & F.col("id").isNotNull())
     total = there.count()
     part = 1.0 if total <= sample_rows else 1.1 * sample_rows / total
     picked = there.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) < int(part * (1 << 30))).limit(2 * sample_rows).select("id", "vec").toArrow()
-    picked = picked.sort_by("id").column("vec").combine_chunks()
+    picked = picked.sort_by("id")
+    ids, picked = picked.column("id").to_numpy(), picked.column("vec").combine_chunks()
     if not len(picked):
         return None
     lengths = np.nan_to_num(picked.value_lengths().to_numpy(zero_copy_only=False).astype(np.float64), nan=0).astype(np.int64)
     lengths = lengths[lengths > 0]
     if not len(lengths):
         return None
-    _, sample = vectors(picked, int(np.bincount(lengths).argmax()))
+    at, sample = vectors(picked, int(np.bincount(lengths).argmax()))
     if not len(sample):
         return None
-    top = Top(sample[:sample_rows], total, max_cells)
+    top = Top(ids[at][:sample_rows], sample[:sample_rows], total, max_cells)
+    asked = there if queries is None else queries.where(F.col("vec").isNotNull() & F.col("id").isNotNull())
+    asked = asked.select("id", "vec").orderBy(F.xxhash64("id", F.lit(29)), "id").limit(TRIES).toArrow()
+    at, tries = vectors(asked.column("vec"), sample.shape[1])
+    tries = asked.column("id").to_numpy()[at], tries
     if (top.parts == 1).all():
-        return Index(top, total, k, target)
-    return Index(top, total, k, target, *_divide(there, top))
+        return Index(top, total, k, target, tries)
+    return Index(top, total, k, target, tries, *_divide(there, top))
 
 
 def _divide(rows: DataFrame, top: Top) -> tuple[list[np.ndarray], np.ndarray]:
@@ -236,7 +223,7 @@ def _group_of(cell, sub, groups: int):
     return (np.asarray(cell, dtype=np.uint64) * np.uint64(0x9E3779B1) + np.asarray(sub, dtype=np.uint64) * np.uint64(0x85EBCA77)) % np.uint64(groups)
 
 
-def _search(index_rows: DataFrame, query_rows: DataFrame, shared, k: int, probes: int, shortlist: int, block_rows: int, group_rows: int) -> DataFrame:
+def _search(index_rows: DataFrame, query_rows: DataFrame, shared, k: int, probes: int, block_rows: int, group_rows: int) -> DataFrame:
     """query_id, vec_id, score: the best of each group for each query."""
     tasks = 2 * index_rows.sparkSession.sparkContext.defaultParallelism
     kind = np.float32 if dict(index_rows.dtypes)["vec"] == "array<float>" else np.float64
@@ -252,7 +239,6 @@ def _search(index_rows: DataFrame, query_rows: DataFrame, shared, k: int, probes
             ids = batch.column(0).take(pa.array(at)).to_numpy()
             near = index.nearest(x.astype(np.float32))
             sub = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % subs[near]
-            codes = index.encode(x.astype(np.float32), near)
             n = len(at)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -262,7 +248,7 @@ def _search(index_rows: DataFrame, query_rows: DataFrame, shared, k: int, probes
                     pa.array([v.tobytes() for v in x.astype(kind)], pa.binary()),
                     pa.array(near.astype(np.int32)),
                     pa.array(sub.astype(np.int32)),
-                    pa.array([c.tobytes() for c in codes], pa.binary()),
+                    pa.nulls(n, pa.binary()),
                 ],
                 ["grp", "kind", "id", "vec", "cell", "sub", "extra"],
             )
@@ -302,7 +288,7 @@ def _search(index_rows: DataFrame, query_rows: DataFrame, shared, k: int, probes
                     continue
                 if groups[a] != grp:
                     if ask:
-                        yield from _answers(index, ready, ask, k, shortlist, kind)
+                        yield from _answers(index, ready, ask, k, kind)
                     grp, held, ready, ask = groups[a], [], None, []
                 part = batch.slice(a, b - a)
                 if kinds[a] == 0:
@@ -313,10 +299,10 @@ def _search(index_rows: DataFrame, query_rows: DataFrame, shared, k: int, probes
                 for i, v, e in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(6).to_pylist()):
                     ask.append((i, v, e))
                     if len(ask) >= 256:
-                        yield from _answers(index, ready, ask, k, shortlist, kind)
+                        yield from _answers(index, ready, ask, k, kind)
                         ask = []
         if ask:
-            yield from _answers(index, ready, ask, k, shortlist, kind)
+            yield from _answers(index, ready, ask, k, kind)
 
     rows = index_rows.mapInArrow(place, schema).union(query_rows.mapInArrow(send, schema))
     _, groups = _layout(shared.value, block_rows, group_rows, tasks)
@@ -326,15 +312,23 @@ def _search(index_rows: DataFrame, query_rows: DataFrame, shared, k: int, probes
 _KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
 
 
-def _cells(index: Index, held: list[pa.RecordBatch], kind, k: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """cell -> (ids, where the ids of each vector start, distinct vectors, codes) of what a group holds of it; copies of a vector keep their ``k`` + 1 smallest ids."""
+class Cell:
+    """What a group holds of a cell: distinct vectors, ``starts`` of the ids of each, the vectors' ``rest`` from the centroid and its longest, ``radius``."""
+
+    def __init__(self, centroid: np.ndarray, ids: np.ndarray, starts: np.ndarray, x: np.ndarray):
+        self.centroid, self.ids, self.starts, self.x = centroid.astype(np.float64), ids, starts, x
+        rest = x - self.centroid
+        self.rest, self.radius = rest.astype(np.float32), float(np.sqrt((rest * rest).sum(1).max()))
+
+
+def _cells(index: Index, held: list[pa.RecordBatch], kind, k: int) -> tuple[dict[int, Cell], bool]:
+    """(the cells of a group, whether no id comes twice in it); copies of a vector keep their ``k`` + 1 smallest ids."""
     if not held:
-        return {}
+        return {}, True
     whole = pa.Table.from_batches(held)
     ids, cell = whole.column("id").to_numpy(), whole.column("cell").to_numpy()
     raw = whole.column("vec").to_pylist()
     x = np.frombuffer(b"".join(raw), kind).reshape(-1, index.dim)
-    codes = np.frombuffer(b"".join(whole.column("extra").to_pylist()), np.uint8).reshape(-1, index.parts)
     order = np.lexsort((ids, cell))
     cuts = np.flatnonzero(np.concatenate(([True], cell[order][1:] != cell[order][:-1]))).tolist() + [len(order)]
     out = {}
@@ -350,8 +344,9 @@ def _cells(index: Index, held: list[pa.RecordBatch], kind, k: int) -> dict[int,
         rows, copy = rows[keep], copy[keep]
         starts = np.searchsorted(copy, np.arange(len(seen) + 1))
         first = rows[starts[:-1]]
-        out[int(cell[rows[0]])] = (ids[rows], starts, x[first], codes[first])
-    return out
+        c = int(cell[rows[0]])
+        out[c] = Cell(index.coarse[c], ids[rows], starts, x[first])
+    return out, len(np.unique(ids)) == len(ids)
 
 
 def _top(who: np.ndarray, vec: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -366,40 +361,54 @@ def _top(who: np.ndarray, vec: np.ndarray, s: np.ndarray, k: int) -> tuple[np.nd
     return who[best], vec[best], s[best]
 
 
-def _answers(index: Index, cells: dict, ask: list, k: int, shortlist: int, kind):
+def _answers(index: Index, ready: tuple[dict[int, Cell], bool], ask: list, k: int, kind):
     """The ``k`` best in this group for a block of queries."""
+    cells, once = ready
     if not cells:
         return
     names = np.array([i for i, _, _ in ask], dtype=np.int64)
     q = np.frombuffer(b"".join(v for _, v, _ in ask), kind).reshape(-1, index.dim).astype(np.float64)
-    q32 = q.astype(np.float32)
-    lut, base = index.tables(q32), q32 @ index.coarse.T
+    length = np.sqrt((q * q).sum(1))
+    unit = (q / length[:, None]).astype(np.float32)
     wanted: dict[int, list[int]] = {}
     for j, (_, _, e) in enumerate(ask):
         for c in np.frombuffer(e, np.int32).tolist():
             wanted.setdefault(c, []).append(j)
+    # scores by a query's length.  The k + 1 best so far of each (one may be the query itself), less the error that they may have
+    best = np.full((len(ask), k + 1), -np.inf)
     got, held = [], 0
-    for c, who in wanted.items():
+    for c, asking in wanted.items():
         if c not in cells:
             continue
-        ids, starts, x, codes = cells[c]
-        who = np.array(who)
-        for lo in range(0, len(x), 4096):
-            part = slice(lo, lo + 4096)
-            near = np.repeat(base[who, c][:, None], len(x[part]), axis=1)
-            for m in range(index.parts):
-                near += np.take(lut[m][who], codes[part, m], axis=1)
-            mine = ids[starts[lo] : starts[min(lo + 4096, len(x))]]
+        cell, asking = cells[c], np.array(asking)
+        base = (q[asking] @ cell.centroid) / length[asking]
+        # of single precision sums; of doubles, and of what is added to them
+        error = (index.dim + 8) * (2.0**-23 * cell.radius + 2.0**-50 * float(np.sqrt((cell.centroid**2).sum())))
+        may = ~(base + cell.radius + error < best[asking].min(1))
+        who, base = asking[may], base[may]
+        for lo in range(0, len(cell.x) if len(who) else 0, 4096):
+            near = unit[who] @ cell.rest[lo : lo + 4096].T
+            n = near.shape[1]
+            mine = cell.ids[cell.starts[lo] : cell.starts[lo + n]]
             # one more for the query itself, one for each time an id comes again
-            take = max(shortlist, 2 * k) + 1 + len(mine) - len(np.unique(mine))
-            last = np.partition(near, -take, axis=1)[:, -take] if take < near.shape[1] else np.full(len(who), -np.inf, np.float32)
-            row, pick = np.nonzero(~(near < last[:, None]))  # with all that tie with the last
+            take = k + 1 + len(mine) - len(np.unique(mine))
+            last = np.full(len(who), -np.inf)
+            if take < n:
+                tops = np.partition(near, n - take, axis=1)[:, n - take :].astype(np.float64)
+                last = tops[:, 0] - 2 * error
+            else:
+                tops = near.astype(np.float64)
+            if once:
+                both = np.concatenate([best[who], tops + (base - error)[:, None]], axis=1)
+                best[who] = np.partition(both, both.shape[1] - k - 1, axis=1)[:, both.shape[1] - k - 1 :]
+                last = np.maximum(last, best[who].min(1) - base - error)
+            row, pick = np.nonzero(~(near < last[:, None]))
             for at in range(0, len(row), 65_536):
                 r, p = who[row[at : at + 65_536]], pick[at : at + 65_536] + lo
-                exact = np.einsum("rd,rd->r", x[p].astype(np.float64), q[r])
-                n = starts[p + 1] - starts[p]
+                exact = np.einsum("rd,rd->r", cell.x[p].astype(np.float64), q[r])
+                n = cell.starts[p + 1] - cell.starts[p]
                 each = np.repeat(np.arange(len(p)), n)
-                vec = ids[np.arange(len(each)) + np.repeat(starts[p] - (np.cumsum(n) - n), n)]
+                vec = cell.ids[np.arange(len(each)) + np.repeat(cell.starts[p] - (np.cumsum(n) - n), n)]
                 real = np.isfinite(exact[each]) & (vec != names[r[each]])
                 got.append((r[each][real], vec[real], exact[each][real]))
                 held += len(each)
@@ -421,7 +430,6 @@ def search(
     sample_rows: int = 20_000,
     max_cells: int = 1 << 16,
     target: float = 0.97,
-    shortlist: int = 32,
     block_rows: int = 4096,
     group_rows: int = 131_072,
 ) -> DataFrame:
@@ -430,7 +438,7 @@ def search(
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id is not null")
     queries = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id is not null")
     empty = spark.range(0).select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
-    index = fit(rows, k, sample_rows, max_cells, target)
+    index = fit(rows, k, sample_rows, max_cells, target, queries)
     if index is None:
         return empty
     shared = spark.sparkContext.broadcast(index)
@@ -440,7 +448,7 @@ def search(
         order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
         return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    how = (k, index.probes, shortlist, block_rows, group_rows)
+    how = (k, index.probes, block_rows, group_rows)
     out = materialize(best(_search(rows, queries, shared, *how)), "neighbours")
     if index.probes == index.cells:
         return out
@@ -448,7 +456,7 @@ def search(
     short = queries.join(full, queries["id"] == full["query_id"], "left_anti")
     if short.isEmpty():
         return out
-    again = best(_search(rows, short, shared, k, index.cells, shortlist, block_rows, group_rows))
+    again = best(_search(rows, short, shared, k, index.cells, block_rows, group_rows))
     return out.join(full, "query_id", "left_semi").unionByName(again)
 
 

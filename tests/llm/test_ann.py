@@ -121,3 +121,43 @@ def test_cells_of_cells(spark, monkeypatch):
     assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
     good = sum(s >= kth[q] - 1e-9 for q, found in got.items() for _, s in found)
     assert good >= 0.95 * sum(map(len, want.values()))
+
+
+def unit(x):
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).tolist()
+
+
+def test_recall_where_clusters_are_much_tighter_than_the_rest(spark):
+    rng = np.random.default_rng(12)
+    scales, which = 10 ** rng.uniform(-3, 0, 60), rng.integers(0, 60, 5000)
+    vecs = unit(rng.normal(size=(60, 32))[which] + scales[which][:, None] * rng.normal(size=(5000, 32)) * 3)
+    df = spark.createDataFrame([(i, v, "", 0) for i, v in enumerate(vecs)], SCHEMA)
+    assert recall(collect(search(df, df.where("vec_id % 20 = 0"))), exact(list(enumerate(vecs)))) >= 0.95
+
+
+def test_recall_where_queries_lie_elsewhere_than_the_rows(spark):
+    rng = np.random.default_rng(13)
+    x, asked = rng.normal(size=(6000, 32)), np.arange(6000) % 20 == 0
+    x[:5000][asked[:5000]] = np.array([1.0, -1.0] * 16) + rng.normal(size=(250, 32)) * 0.05
+    vecs = unit(x)
+    df = spark.createDataFrame([(i, v, "", 0) for i, v in enumerate(vecs)], SCHEMA)
+    assert recall(collect(search(df, df.where("vec_id % 20 = 0"))), exact(list(enumerate(vecs)))) >= 0.95
+
+
+def test_no_neighbour_is_lost_in_probed_cells(spark):
+    rng = np.random.default_rng(14)
+    for offset, spread in ((0.0, 1.0), (1000.0, 1e-2)):
+        vecs = (offset + rng.normal(size=(3000, 24)) * spread * np.exp(rng.normal(size=(3000, 1)))).tolist()
+        rows = [(i, v) for i, v in enumerate(vecs)] + [(40, vecs[41]), (40, vecs[60]), (7000, vecs[80])]
+        df = spark.createDataFrame([(i, v, "", 0) for i, v in rows], SCHEMA.replace("float", "double"))
+        index = fit(df.selectExpr("vec_id AS id", "embedding AS vec"), 20, 20_000, 1 << 16, 0.97)
+        got = collect(search(df, df.where("vec_id in (100, 200, 300)"), target=1.0, block_rows=500, group_rows=900))
+        assert index.cells > 10 and set(got) == {100, 200, 300}
+        x, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+        for q, found in got.items():
+            s = x @ np.array(vecs[q])
+            by = {}
+            for i, v in zip(ids.tolist(), s.tolist()):
+                by[i] = max(by.get(i, -np.inf), v)
+            want = sorted((v for i, v in by.items() if i != q), reverse=True)[:20]
+            np.testing.assert_allclose([v for _, v in found], want, rtol=1e-12)
