@@ -78,3 +78,29 @@ def document_frequency(index: DataFrame) -> DataFrame:
     """term, df (documents that have it), tf; partial sums per document on the map side."""
     by_doc = index.groupBy("term", "document_id").agg(F.sum("tf").alias("tf"))
     return by_doc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+
+
+def term_statistics(texts: DataFrame, content: str = "content", document: str = "document_id") -> DataFrame:
+    """term, df, tf of a table with a row per document: ``document_frequency`` of its postings without the postings.
+
+    A row gives its distinct terms for df and all its tokens for tf, so only sums by
+    term are kept and moved.  Ids are looked at first: documents of several rows
+    (an id that comes again) are counted by (term, document).  A null id is no document,
+    but its tokens count.
+    """
+    sums = [F.sum("df").alias("df"), F.sum("tf").alias("tf")]
+    rows = texts.select(F.col(document).alias("_id"), F.col(content).alias("_text"))
+    several = rows.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > 1) & F.col("_id").isNotNull()).select("_id")
+    if several.isEmpty():
+        return _by_row(rows).groupBy("term").agg(*sums)
+    words = rows.join(several, "_id", "left_semi").select("_id", F.explode(tokenize("_text")).alias("term"))
+    again = words.groupBy("term", "_id").agg(F.lit(1).cast("long").alias("df"), F.count(F.lit(1)).alias("tf")).select("term", "df", "tf")
+    return _by_row(rows.join(several, "_id", "left_anti")).unionByName(again).groupBy("term").agg(*sums)
+
+
+def _by_row(rows: DataFrame) -> DataFrame:
+    """term, df, tf: a term once for each row (_id, _text) that has it, and once for each time it occurs."""
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    tokens = rows.select(F.col("_id").isNotNull().cast("long").alias("_doc"), tokenize("_text").alias("_t"))
+    lists = F.array(F.struct(F.col("_doc").alias("df"), zero.alias("tf"), F.array_distinct("_t").alias("t")), F.struct(zero.alias("df"), one.alias("tf"), F.col("_t").alias("t")))
+    return tokens.select(F.explode(lists).alias("l")).select(F.explode("l.t").alias("term"), "l.df", "l.tf")

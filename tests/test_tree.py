@@ -100,3 +100,23 @@ def test_dialect_leaves_strings_and_comments_alone():
     assert translate("SELECT 'log(1) like' -- log(2)\n, log(x) FROM t WHERE a LIKE 'b'") == "SELECT 'log(1) like' -- log(2)\n, q_log(x) FROM t WHERE a ILIKE 'b'"
     assert translate("SELECT substring(trim(a), 0, instr(b, 'x')) FROM t") == "SELECT q_substring3(q_trim(a), 0, q_instr(b, 'x')) FROM t"
     assert translate("SELECT trim(LEADING 'x' FROM a), substring(a FROM 2 FOR 3)") == "SELECT q_ltrim2(a, 'x'), q_substring3(a, 2, 3)"
+
+
+def test_term_statistics_are_those_of_the_postings_without_pairs(spark):
+    rows = [(1, "a b\na"), (2, "B c"), (2, "b d b"), (3, ""), (4, None), (None, "a e"), (5, "É é x1"), (2, None)]
+    texts = spark.createDataFrame(rows, "document_id int, content string")
+    got = sorted(map(tuple, ft.term_statistics(texts).collect()))
+    assert got == [("a", 1, 3), ("b", 2, 4), ("c", 1, 1), ("d", 1, 1), ("e", 0, 1), ("x1", 1, 1), ("é", 1, 2)]
+    once = texts.where("document_id in (1, 5)")
+    assert sorted(map(tuple, ft.term_statistics(once).collect())) == sorted(map(tuple, ft.document_frequency(ft.postings(once, keys=("document_id",))).collect()))
+    plan = ft.term_statistics(once)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(term#") == 1 and "_id#" not in plan.split("Exchange hashpartitioning(")[1].split(")")[0]
+
+
+def test_term_df_keeps_no_entry_for_each_term_of_each_document(spark):
+    from quillspark.plans.registry import QUERIES
+
+    df = QUERIES["term_df"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    keys = [line.split("Aggregate [")[1].split("]")[0] for line in plan.splitlines() if "Aggregate [" in line]
+    assert keys and all("term#" in k and "," not in k for k in keys)
