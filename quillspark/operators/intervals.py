@@ -59,6 +59,34 @@ def _closed_form(staged: DataFrame, columns: list[str], d: Column, o: Column) ->
     )
 
 
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` by ``keys`` in as many tasks as the session has shuffle partitions: numbers pack so well that adaptive execution would join far too many rows in one."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def with_ord(nodes: DataFrame, keys: list[str], doc: str = "document_id", chunk: int = 4096, run: int = 1 << 20) -> DataFrame:
+    """``nodes`` with ``ord``: the place in their document by the integer ``keys`` (two at least), nulls last, for documents of any size.
+
+    A run is the nodes that agree in all keys but the last, and in that but for its
+    rest by ``run``; a chunk is the runs that agree in all keys but the last two, and in the
+    one before the last but for its rest by ``chunk``.  Whole division keeps the order, so
+    a place is that in the run, after the earlier runs of its chunk, after the earlier
+    chunks; no window sees more than a run's nodes, a chunk's runs or a document's chunks.
+    """
+    *high, mid = [f"_k{n}" for n in range(len(keys) - 1)]
+    last = F.lit((1 << 63) - 1)
+    cut = nodes.withColumns({f"_k{n}": F.coalesce(F.col(k).cast("long"), last) for n, k in enumerate(keys[:-1])} | {"_low": F.coalesce(F.col(keys[-1]).cast("long"), last)})
+    cut = cut.withColumns({"_run": F.expr(f"_low div {run}"), "_chunk": F.expr(f"{mid} div {chunk}")})
+    earlier = lambda part, by: Window.partitionBy(*part).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    of_run, of_chunk = [doc, *high, mid, "_run"], [doc, *high, "_chunk"]
+    runs = cut.groupBy(*of_run, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    bases = runs.groupBy(*of_chunk).agg(F.sum("_n").alias("_n")).select(*of_chunk, F.coalesce(F.sum("_n").over(earlier([doc], [*high, "_chunk"])), F.lit(0)).alias("_base"))
+    inner = runs.select(*of_run, "_chunk", F.coalesce(F.sum("_n").over(earlier(of_chunk, [mid, "_run"])), F.lit(0)).alias("_in"))
+    starts = inner.join(bases, of_chunk).select(*of_run, (F.col("_base") + F.col("_in")).alias("_start"))
+    placed = _spread(cut, *of_run).withColumn("_at", F.row_number().over(Window.partitionBy(*of_run).orderBy("_low")))
+    return placed.join(starts, of_run).select(*nodes.columns, (F.col("_start") + F.col("_at")).cast("int").alias("ord"))
+
+
 def with_block_ids(blocks: DataFrame) -> DataFrame:
     """Store-wide running ``id`` from 0, in (document_id, ord) order; ``ord`` counts from 1 without gaps in each document.
 
@@ -101,7 +129,7 @@ def number_chunked(nodes: DataFrame, chunk: int, doc: str = "document_id", ord_:
     here = Window.partitionBy(doc, "_chunk")
     before = here.orderBy(F.col(ord_).asc()).rowsBetween(Window.unboundedPreceding, -1)
     after = here.orderBy(F.col(ord_).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    placed = nodes.withColumn("_chunk", at).select(
+    placed = _spread(nodes.withColumn("_chunk", at), doc, "_chunk").select(
         "*", *[F.max(F.when(d == k, o)).over(before).alias(f"_last{k}") for k in LEVELS], *[F.min(F.when(d == k, o)).over(after).alias(f"_next{k}") for k in LEVELS]
     )
     joined = placed.join(carried, (F.col(doc) == F.col("_doc")) & (F.col("_chunk") == F.col("_at")))

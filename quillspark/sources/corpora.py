@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.intervals import number_chunked, number_intervals
+from ..operators.intervals import number_chunked, number_intervals, with_ord
 
 COLUMNS = ("document_id", "ord", "block_type", "content", "depth", "lang")
 
@@ -76,8 +76,7 @@ def geography_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(c.select("document_id", F.col("a").cast("long").alias("a"), "b", none.alias("k"), F.col("c_name").alias("content"), F.lit(3).alias("depth")))
         .unionByName(o.select("document_id", F.col("a").cast("long").alias("a"), "b", "k", F.col("o_orderpriority").alias("content"), F.lit(0).alias("depth")))
     )
-    order = Window.partitionBy("document_id").orderBy("a", "b", "k")
-    return every.select("document_id", F.row_number().over(order).alias("ord"), F.when(F.col("depth") > 0, "heading").otherwise("paragraph").alias("block_type"), "content", "depth", F.lit("").alias("lang"))
+    return with_ord(every, ["a", "b", "k"]).select("document_id", "ord", F.when(F.col("depth") > 0, "heading").otherwise("paragraph").alias("block_type"), "content", "depth", F.lit("").alias("lang"))
 
 
 GEO_NODES = """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import fulltext as ft
 from quillspark.operators import navigation as nav
-from quillspark.operators.intervals import number_chunked, number_intervals, with_block_ids
+from quillspark.operators.intervals import number_chunked, number_intervals, with_block_ids, with_ord
 from quillspark.plans.dialect import translate
 from quillspark.sources.markdown import front_matter, inline_text, scan
 
@@ -120,3 +120,27 @@ def test_term_df_keeps_no_entry_for_each_term_of_each_document(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     keys = [line.split("Aggregate [")[1].split("]")[0] for line in plan.splitlines() if "Aggregate [" in line]
     assert keys and all("term#" in k and "," not in k for k in keys)
+
+
+def test_places_are_counted_in_runs_and_chunks(spark):
+    rng = random.Random(4)
+    some = lambda top: rng.choice([None, -1, *range(-3, top)])
+    rows = list({(rng.randrange(3), some(3), some(40), some(60)) for _ in range(3000)}) + [(7, 0, 5, k) for k in range(500)]
+    df = spark.createDataFrame(rows, "document_id int, a long, b int, k long").repartition(5)
+    place = lambda r: tuple((v is None, v or 0) for v in r)
+    want = [(*r, n) for d in {r[0] for r in rows} for n, r in enumerate(sorted((r for r in rows if r[0] == d), key=place), 1)]
+    for chunk, run in ((1, 1), (4, 7), (4096, 1 << 20)):
+        got = with_ord(df, ["a", "b", "k"], chunk=chunk, run=run)
+        assert got.columns == ["document_id", "a", "b", "k", "ord"]
+        assert sorted(map(tuple, got.collect()), key=place) == sorted(want, key=place)
+
+
+def test_no_window_sees_all_nodes_of_a_region(spark):
+    from quillspark.sources.corpora import blocks
+
+    plan = blocks(spark, "/root/testdata/sf0.001", "geo")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    numbering = [line for line in windows if "row_number()" in line]
+    assert len(numbering) == 2 and all("_run#" in line.split("windowspecdefinition(")[1].split("ASC")[0] for line in numbering)
+    # by document alone, only rows of chunks are summed up or carried
+    assert all("_chunk#" in line or "_hi#" in line for line in windows if line not in numbering)
