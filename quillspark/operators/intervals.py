@@ -59,6 +59,11 @@ def _closed_form(staged: DataFrame, columns: list[str], d: Column, o: Column) ->
     )
 
 
+def _key(doc: str) -> Column:
+    """The document in a struct, which equals itself in joins where the document is null."""
+    return F.struct(doc)
+
+
 def _spread(rows: DataFrame, *keys: str) -> DataFrame:
     """``rows`` by ``keys`` in as many tasks as the session has shuffle partitions: numbers pack so well that adaptive execution would join far too many rows in one."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
@@ -76,11 +81,11 @@ def with_ord(nodes: DataFrame, keys: list[str], doc: str = "document_id", chunk:
     *high, mid = [f"_k{n}" for n in range(len(keys) - 1)]
     last = F.lit((1 << 63) - 1)
     cut = nodes.withColumns({f"_k{n}": F.coalesce(F.col(k).cast("long"), last) for n, k in enumerate(keys[:-1])} | {"_low": F.coalesce(F.col(keys[-1]).cast("long"), last)})
-    cut = cut.withColumns({"_run": F.expr(f"_low div {run}"), "_chunk": F.expr(f"{mid} div {chunk}")})
+    cut = cut.withColumns({"_doc": _key(doc), "_run": F.expr(f"_low div {run}"), "_chunk": F.expr(f"{mid} div {chunk}")})
     earlier = lambda part, by: Window.partitionBy(*part).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    of_run, of_chunk = [doc, *high, mid, "_run"], [doc, *high, "_chunk"]
+    of_run, of_chunk = [mid, "_run", *high, "_doc"], ["_chunk", *high, "_doc"]  # what differs most comes first, for sorts
     runs = cut.groupBy(*of_run, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    bases = runs.groupBy(*of_chunk).agg(F.sum("_n").alias("_n")).select(*of_chunk, F.coalesce(F.sum("_n").over(earlier([doc], [*high, "_chunk"])), F.lit(0)).alias("_base"))
+    bases = runs.groupBy(*of_chunk).agg(F.sum("_n").alias("_n")).select(*of_chunk, F.coalesce(F.sum("_n").over(earlier(["_doc"], [*high, "_chunk"])), F.lit(0)).alias("_base"))
     inner = runs.select(*of_run, "_chunk", F.coalesce(F.sum("_n").over(earlier(of_chunk, [mid, "_run"])), F.lit(0)).alias("_in"))
     starts = inner.join(bases, of_chunk).select(*of_run, (F.col("_base") + F.col("_in")).alias("_start"))
     placed = _spread(cut, *of_run).withColumn("_at", F.row_number().over(Window.partitionBy(*of_run).orderBy("_low")))
@@ -112,27 +117,27 @@ def number_chunked(nodes: DataFrame, chunk: int, doc: str = "document_id", ord_:
     after and before it, in windows over one row per chunk; so one huge document
     spreads over the cluster.
     """
-    at = F.expr(f"({ord_} - 1) div {chunk}")
+    cut = nodes.withColumns({"_doc": _key(doc), "_chunk": F.expr(f"({ord_} - 1) div {chunk}")})
     d, o = F.col(depth), F.col(ord_)
-    ends = nodes.groupBy(doc, at.alias("_chunk")).agg(
+    ends = cut.groupBy("_chunk", "_doc").agg(
         *[F.max(F.when(d == k, o)).alias(f"_hi{k}") for k in LEVELS], *[F.min(F.when(d == k, o)).alias(f"_lo{k}") for k in LEVELS], F.max(o).alias("_hi")
     )
-    earlier = Window.partitionBy(doc).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy(doc).orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("_doc").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("_doc").orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(
-        F.col(doc).alias("_doc"),
-        F.col("_chunk").alias("_at"),
+        "_chunk",
+        "_doc",
         *[F.max(f"_hi{k}").over(earlier).alias(f"_before{k}") for k in LEVELS],
         *[F.min(f"_lo{k}").over(later).alias(f"_after{k}") for k in LEVELS],
-        F.max("_hi").over(Window.partitionBy(doc)).alias("_n"),
+        F.max("_hi").over(Window.partitionBy("_doc")).alias("_n"),
     )
-    here = Window.partitionBy(doc, "_chunk")
+    here = Window.partitionBy("_chunk", "_doc")
     before = here.orderBy(F.col(ord_).asc()).rowsBetween(Window.unboundedPreceding, -1)
     after = here.orderBy(F.col(ord_).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    placed = _spread(nodes.withColumn("_chunk", at), doc, "_chunk").select(
+    placed = _spread(cut, "_chunk", "_doc").select(
         "*", *[F.max(F.when(d == k, o)).over(before).alias(f"_last{k}") for k in LEVELS], *[F.min(F.when(d == k, o)).over(after).alias(f"_next{k}") for k in LEVELS]
     )
-    joined = placed.join(carried, (F.col(doc) == F.col("_doc")) & (F.col("_chunk") == F.col("_at")))
+    joined = placed.join(carried, ["_chunk", "_doc"])
     staged = joined.withColumns(
         {f"_last{k}": F.coalesce(f"_last{k}", f"_before{k}", F.lit(0)) for k in LEVELS} | {f"_next{k}": F.coalesce(f"_next{k}", f"_after{k}") for k in LEVELS}
     )

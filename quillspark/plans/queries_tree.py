@@ -80,7 +80,7 @@ def next_sibling_conv(spark, d):
     ON a.document_id = b.document_id AND a.depth > 0 AND (a.ord = b.ord OR (a.pre < b.pre AND b.post < a.post)) WHERE b.depth > 0 GROUP BY 1, 2""",
 )
 def breadcrumb_geo(spark, d):
-    return nav.breadcrumbs(blocks(spark, d, "geo").where("depth > 0")).select("document_id", "ord", "breadcrumb")
+    return nav.breadcrumbs(blocks(spark, d, "geo").where("depth > 0 AND document_id IS NOT NULL")).select("document_id", "ord", "breadcrumb")
 
 
 @register("section_sizes_geo", blocks_sql("geo") + " SELECT document_id, content, depth, (post - pre - 1) // 2 AS blocks_inside FROM geo_blocks WHERE depth > 0")

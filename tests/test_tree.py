@@ -144,3 +144,46 @@ def test_no_window_sees_all_nodes_of_a_region(spark):
     assert len(numbering) == 2 and all("_run#" in line.split("windowspecdefinition(")[1].split("ASC")[0] for line in numbering)
     # by document alone, only rows of chunks are summed up or carried
     assert all("_chunk#" in line or "_hi#" in line for line in windows if line not in numbering)
+
+
+def test_nodes_of_no_document_are_numbered_too(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, None, 0, 1]), a, b, k, 2 if k == 0 else 0) for a in range(3) for b in range(20) for k in range(7)]
+    nodes = spark.createDataFrame(rows, "document_id int, a int, b long, k long, depth int").repartition(5)
+    placed = with_ord(nodes, ["a", "b", "k"], chunk=4, run=3)
+    assert placed.count() == len(rows)
+    shown = lambda df: sorted(map(str, df.select("document_id", "ord", "depth", "pre", "post", "parent_ord", "path").collect()))
+    whole = shown(number_intervals(placed))
+    assert len(whole) == len(rows) and all(shown(number_chunked(placed, chunk)) == whole for chunk in (1, 16, 1000))
+
+
+def test_geo_queries_with_nations_of_no_region(spark, tmp_path):
+    import duckdb
+
+    from quillspark.plans.registry import ORACLES, QUERIES
+
+    db = duckdb.connect()
+    for t in ("region", "nation", "customer", "orders"):
+        db.execute(f"CREATE TABLE {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    db.execute("UPDATE nation SET n_regionkey = NULL WHERE n_nationkey IN (3, 7)")
+    db.execute("UPDATE orders SET o_orderkey = NULL WHERE o_orderkey = 17")
+    for t in ("region", "nation", "customer", "orders"):
+        db.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    for name in ("section_sizes_geo", "intervals_geo", "sibling_positions_geo", "breadcrumb_geo", "section_under_bucketed_geo"):
+        df, want = QUERIES[name](spark, str(tmp_path)), db.sql(f"SELECT * FROM ({ORACLES[name]})")
+        assert sorted(str(tuple(r[c] for c in want.columns)) for r in df.collect()) == sorted(map(str, want.fetchall())), name
+
+
+def windows_by_document_alone(df):
+    """Windows of the plan that see a document's nodes: those that neither number the nodes of a run nor run over chunks or in them."""
+    windows = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line]
+    numbering = [line for line in windows if "row_number()" in line]
+    assert numbering
+    in_run = lambda line: "_run#" in line.split("windowspecdefinition(")[1].split("ASC")[0]
+    return [line for line in windows if not (in_run(line) if line in numbering else "_chunk#" in line or "_hi#" in line)]
+
+
+def test_no_window_of_section_sizes_sees_a_region(spark):
+    from quillspark.plans.registry import QUERIES
+
+    assert windows_by_document_alone(QUERIES["section_sizes_geo"](spark, "/root/testdata/sf0.001")) == []
