@@ -187,3 +187,12 @@ def test_no_window_of_section_sizes_sees_a_region(spark):
     from quillspark.plans.registry import QUERIES
 
     assert windows_by_document_alone(QUERIES["section_sizes_geo"](spark, "/root/testdata/sf0.001")) == []
+
+
+def test_no_window_of_bucketed_sections_sees_a_region_and_its_join_is_by_bucket(spark):
+    from quillspark.plans.registry import QUERIES
+
+    df = QUERIES["section_under_bucketed_geo"](spark, "/root/testdata/sf0.001")
+    assert windows_by_document_alone(df) == []
+    joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert "_bo#" in joins[0] and "_bi#" in joins[0]
