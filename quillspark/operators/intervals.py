@@ -47,7 +47,7 @@ def _closed_form(staged: DataFrame, columns: list[str], d: Column, o: Column) ->
         shallower = _greatest([F.lit(0), *[F.col(f"_last{j}") for j in range(1, k)]])
         opened.append(F.when((F.col(f"_last{k}") > shallower) & ((d == 0) | (d > k)), F.col(f"_last{k}")))
     anc = reduce(lambda a, b: a + b, [c.isNotNull().cast("int") for c in opened])
-    end = F.coalesce(F.least(*[F.when(d >= k, F.col(f"_next{k}")) for k in LEVELS]), F.col("_n") + 1)
+    end = F.coalesce(F.least(*[F.when(d >= k, F.col(f"_next{k}")) for k in LEVELS]), F.coalesce("_n", o) + 1)  # _n is never null, which Catalyst does not know; filters for null would make all numbers twice
     pre = 2 * o - 1 - anc
     desc = F.when(d > 0, end - o - 1).otherwise(0)
     return staged.select(

@@ -196,3 +196,11 @@ def test_no_window_of_bucketed_sections_sees_a_region_and_its_join_is_by_bucket(
     assert windows_by_document_alone(df) == []
     joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
     assert "_bo#" in joins[0] and "_bi#" in joins[0]
+
+
+def test_numbers_are_known_not_to_be_null(spark):
+    from quillspark.sources.corpora import blocks
+
+    # or joins by range filter for it first, and the numbers are made twice in a method too long for the JVM's compiler
+    schema = blocks(spark, "/root/testdata/sf0.001", "geo").schema
+    assert not schema["pre"].nullable and not schema["post"].nullable
